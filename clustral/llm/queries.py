@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, warc
+from . import bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", *_tokenizer())
+    return out.withColumnRenamed("key", "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", sharding.even_tree(8), sharding.even_tree(9))
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -22,7 +33,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op9_warc)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op7_sharding, op9_warc)}
 
 
 def _tree_sql(shards: int) -> str:
