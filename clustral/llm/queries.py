@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, toxicity, warc
+from . import bpe, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extract(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", sharding.even_tree(8), sharding.even_tree(9))
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -33,7 +38,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 6000) -> toxicity.Model:
+def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> toxicity.Model:
     """Fitted on the first `rows` labelled rows by a hash of doc_id, of those that training may use."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     may = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
@@ -49,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op7_sharding, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:

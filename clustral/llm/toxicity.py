@@ -1,6 +1,7 @@
 """A character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct character n-grams it has, hashed to a fixed number of buckets, A-Z lower-cased. The
+A text's features are the distinct character n-grams it has where words begin (the first character is the white space or
+sign before the word), hashed to a fixed number of buckets, A-Z lower-cased; whole texts are read. The
 ratio of a bucket is the logarithm of its share of positive rows over its share of negative rows, both smoothed by one.
 A logistic regression on the features times their ratios gives the score. Only the text enters a score.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .text import _LOWER, flat, pieces
 
+#: A counted n-gram begins with one of these, that is where a word begins.
+_GAP = np.frombuffer(" \t\n\r\"'(|".encode("utf-32-le"), "<u4").astype(np.uint64)
 #: Texts whose features are marked at once.
 BLOCK = 64
 
@@ -43,6 +46,7 @@ def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: i
         points = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         at = np.concatenate([[0], lead])[off[i : j + 1] - off[i]]
         row = np.repeat(np.arange(j - i), np.diff(at))
+        gap = np.isin(points, _GAP)
         for n in orders:
             m = len(points) - n + 1
             if m <= 0:
@@ -51,14 +55,14 @@ def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: i
             for k in range(n):
                 h = (h ^ points[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            inside = row[:m] == row[n - 1 :]
+            inside = (row[:m] == row[n - 1 :]) & gap[:m]
             marks[(row[:m][inside] << bits) + (h[inside] >> np.uint64(64 - bits)).astype(np.int64)] = True
         hit = np.flatnonzero(marks[: (j - i) << bits])
         marks[hit] = False
         yield i, j, hit >> bits, hit & ((1 << bits) - 1)
 
 
-def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (2, 3, 4), bits: int = 18, penalty: float = 1.0, steps: int = 120) -> Model:
+def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (4, 6, 8), bits: int = 18, penalty: float = 1.0, steps: int = 120) -> Model:
     """Fits the model on rows, whose number the caller bounds. Rows with a null label are left out, null texts are empty.
 
     Without any positive or any negative row the score is the smoothed share of positives for every text.
@@ -75,8 +79,11 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (2, 3,
 
     given = rows.select(rows[text].alias("text"), rows[label].cast("int").alias("label")).where("label is not null")
     got = given.mapInArrow(extract, "label int, buckets binary").toArrow()
-    y = got.column("label").to_numpy().astype(float)
-    lists = [np.frombuffer(x.as_py(), "<i4") for x in got.column("buckets")]
+    return fit_lists(got.column("label").to_numpy().astype(float), [np.frombuffer(x.as_py(), "<i4") for x in got.column("buckets")], orders, bits, penalty, steps)
+
+
+def fit_lists(y: np.ndarray, lists: list[np.ndarray], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
+    """fit for rows whose labels y and buckets are at hand."""
     size = np.array([len(x) for x in lists], np.int64)
     index = np.concatenate([*lists, np.zeros(0, "<i4")])
     row = np.repeat(np.arange(len(y)), size)
@@ -99,6 +106,8 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (2, 3,
     return Model(w * ratio, bias, orders)
 
 
+
+
 def score(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """(key, score double) for every row: from 0 to 1, higher for a likelier label 1. Null texts count as empty, which
     have the bias's score. Repeated rows stay, other columns are ignored, an empty table gives an empty result."""
