@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, sharding, toxicity, warc
+from . import bpe, jaccard_join, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90).withColumnRenamed("key", "doc_id")
+
+
 def _tokenizer() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:
@@ -94,7 +98,33 @@ _SHARDING = f"""
     FROM p
 """
 
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingle_sql(table: str, key: str, n: int) -> str:
+    """Rows (k, s): the distinct n-word shingles of each text, the whole sequence where it is shorter."""
+    return f"""SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})] END) AS s
+        FROM (SELECT {key} AS k, {_WORDS.format(_LOW.format("text"))} AS w FROM {table})"""
+
+
+def _jaccard_sql(n: int, percent: int) -> str:
+    return f"""
+    WITH RECURSIVE sh AS ({_shingle_sql("documents", "doc_id", n)}),
+    sz AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+    li AS (
+        SELECT a.k AS a, b.k AS b FROM sh a JOIN sh b ON a.s = b.s AND a.k <> b.k JOIN sz x ON x.k = a.k JOIN sz y ON y.k = b.k
+        GROUP BY a.k, b.k, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+    reach(a, b) AS (SELECT DISTINCT a, a FROM li UNION SELECT r.a, li.b FROM reach r JOIN li ON r.b = li.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(deg, 0) AS n_links
+    FROM documents LEFT JOIN sz ON sz.k = doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc_id
+    LEFT JOIN (SELECT a, count(*) AS deg FROM li GROUP BY a) g ON g.a = doc_id
+    """
+
+
 ORACLES = {
+    "op1_jaccard": _jaccard_sql(3, 90),
     "op7_sharding": _SHARDING,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),

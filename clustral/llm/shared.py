@@ -41,7 +41,7 @@ def bit_map(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
     rows = (
         ids.select(place.alias("p"))
         .groupBy(F.expr("p div 63").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.expr("cast(p % 63 as int)"))).alias("mask"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 63 as int)))").alias("mask"))
         .toPandas()
     )
     out = np.zeros((bits + 62) // 63, np.int64)
