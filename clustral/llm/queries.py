@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, pii, sharding, toxicity, warc
+from . import bpe, decontamination, jaccard_join, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +16,19 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90).withColumnRenamed("key", "doc_id")
 
 
-def _tokenizer() -> tuple[dict[bytes, int], str]:
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.contained(docs, "doc_id", "text", items, "item_id", "text", 5, 80).withColumnRenamed("key", "doc_id")
+
+
+def tokenizer() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.round_trip_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", *_tokenizer())
+    out = bpe.round_trip_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", *tokenizer())
     return out.withColumnRenamed("key", "doc_id")
 
 
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:
@@ -123,7 +128,18 @@ def _jaccard_sql(n: int, percent: int) -> str:
     """
 
 
+#: Every run of five words of each text; of items all shingles; items of fewer words are looked for in the joined words.
+_CONTAINED = f"""
+    WITH it AS ({_shingle_sql("benchmark", "item_id", 5)}), n AS (SELECT k, count(*) AS n FROM it GROUP BY k),
+    w AS (SELECT doc_id AS k, {_WORDS.format(_LOW.format("text"))} AS w FROM documents),
+    lens AS (SELECT DISTINCT len(string_split(s, ' ')) AS z FROM it),
+    sh AS (SELECT DISTINCT k, unnest([array_to_string(w[i:i + z - 1], ' ') FOR i IN range(1, len(w) - z + 2)]) AS s FROM w, lens)
+    SELECT sh.k AS doc_id, it.k AS item_id, n AS item_shingles, count(*) AS shared
+    FROM sh JOIN it ON sh.s = it.s JOIN n ON n.k = it.k GROUP BY sh.k, it.k, n HAVING 100 * count(*) >= 80 * n
+"""
+
 ORACLES = {
+    "op3_decontamination": _CONTAINED,
     "op1_jaccard": _jaccard_sql(3, 90),
     "op7_sharding": _SHARDING,
     "op9_warc": """

@@ -126,3 +126,16 @@ def score(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 def sample(labelled: DataFrame, key: str, rows: int, seed: str = "fit") -> DataFrame:
     """The `rows` rows that come first by a hash of the key: the same on every run, and no more than that."""
     return labelled.orderBy(F.md5(F.concat(F.lit(seed), labelled[key].cast("string"))), labelled[key]).limit(rows)
+
+
+def keep_below(df: DataFrame, text: str, model: Model, limit: float) -> DataFrame:
+    """df's rows, with all columns, whose text scores under limit."""
+    bits = int(np.log2(len(model.weights)))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column(text))
+            parts = [model.score(r, buckets, j - i) for i, j, r, buckets in features(data, off, model.orders, bits)]
+            yield b.filter(pa.array(np.concatenate([*parts, np.zeros(0)]) < limit))
+
+    return df.mapInArrow(below, df.schema)

@@ -1,10 +1,50 @@
-"""A corpus pipeline: each stage calls one operator of clustral.llm."""
+"""A corpus pipeline: each stage calls one operator of clustral.llm on all documents that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from clustral.llm import bpe, decontamination, jaccard_join, pii, queries, toxicity
+
+#: Documents scored at least this are rejected.
+TOXIC = 0.3
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    model = queries.toxicity_model(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_below(docs, "text", model, TOXIC)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class of near duplicates (five words, similarity 0.8)."""
+    found = jaccard_join.classes(docs, "doc_id", "text", 5, 80).select(F.col("key").alias("__key"), F.col("component_id").alias("__class")).distinct()
+    stays = found.where(F.col("__key").eqNullSafe(F.col("__class"))).select("__key")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__key"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that contain an item of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contained(docs, "doc_id", "text", items, "item_id", "text").select(F.col("key").alias("__key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__key"]), "left_anti")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind."""
+    return pii.redacted(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids."""
+    ranks, pattern = queries.tokenizer()
+    coded = bpe.encode(docs, "doc_id", "text", ranks, pattern)
+    return coded.select(F.col("key").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", private), ("bpe", encoded)]
+#: SQL can express neither the classifier nor BPE.
 ORACLE_SQL = None
 
 
