@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, pii, sharding, toxicity, warc
+from . import bpe, decontamination, jaccard_join, neighbours, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90).withColumnRenamed("key", "doc_id")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id % 20 = 0", k=20)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontamination.contained(docs, "doc_id", "text", items, "item_id", "text", 5, 80).withColumnRenamed("key", "doc_id")
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_neighbours, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:
