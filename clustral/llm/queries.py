@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, neighbours, pii, sharding, toxicity, warc
+from . import bpe, class_model, decontamination, jaccard_join, neighbours, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    learns = lambda key: zlib.crc32(str("" if key is None else key).encode()) % 7 != 2
+    out = class_model.score(_table(spark, sf_dir, "documents"), "doc_id", "text", learns)
+    held_out = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))) % 7 == 2
+    return out.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_and_read(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_neighbours, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_neighbours, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op8_class_model, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:
