@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_model, decontamination, jaccard_join, neighbours, pii, sharding, toxicity, warc
+from . import bpe, class_model, decontamination, jaccard_join, neighbours, pii, repeats, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", 400)
+    return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.extract(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
@@ -76,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_neighbours, op3_decontamination, op4_bpe, op6_pii, op7_sharding, op8_class_model, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_neighbours, op3_decontamination, op4_bpe, op5_repeats, op6_pii, op7_sharding, op8_class_model, op9_warc, op10_toxicity)}
 
 
 def _tree_sql(shards: int) -> str:

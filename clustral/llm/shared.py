@@ -42,10 +42,10 @@ def bit_map(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
         ids.select(place.alias("p"))
         .groupBy(F.expr("p div 63").alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(p % 63 as int)))").alias("mask"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros((bits + 62) // 63, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
     return out.tobytes()
 
 
