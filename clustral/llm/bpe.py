@@ -8,6 +8,7 @@ Decoding joins the table of the tokens' bytes, whose size the vocabulary bounds.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -53,29 +54,34 @@ def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern:
     split = splitter(pattern)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary's size bounds it
 
-    def each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_once(table: pa.Table) -> pa.Table:
         coder = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})
-        word, ids = None, b""
-        for b in batches:
-            out = []
-            for w in b.column("word").to_pylist():
-                if w != word:
-                    word, ids = w, np.array(coder._encode_single_piece(w), "<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_pydict({"batch": b.column("batch"), "code": b.column("code"), "ids": pa.array(out, pa.binary())})
-
-    words = dictionary.batch_words(rows, split, limit=batch).drop("n").repartition("word").sortWithinPartitions("word")
-    coded = words.mapInArrow(each_once, "batch long, code int, ids binary")
-
-    def use(table: pa.Table):
-        blobs = table.column("ids").combine_chunks().cast(pa.large_binary())
-        off = np.frombuffer(blobs.buffers()[1], np.int64)[: len(blobs) + 1] // 4
-        flat = np.frombuffer(blobs.buffers()[2], "<i4") if blobs.buffers()[2] else np.zeros(0, "<i4")
-        size = np.diff(off)
+        known: dict[bytes, list[int]] = {}
+        out: dict[str, list] = {"sizes": [], "ids": []}
+        for row in table.column("words"):
+            lists = []
+            for w in dictionary.unpack_words(row.as_py()):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = coder._encode_single_piece(w)
+                lists.append(ids)
+            out["sizes"].append(dictionary.pack(np.fromiter(map(len, lists), np.int64, len(lists))))
+            out["ids"].append(dictionary.pack(np.fromiter((i for x in lists for i in x), np.int64)))
+        return pa.table({"batch": table.column("batch"), "codes": table.column("codes"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+
+    words = dictionary.batch_words(rows, split, limit=batch).select("bucket", "batch", "words", "codes")
+    coded = words.groupBy("bucket").applyInArrow(each_once, "batch long, codes binary, sizes binary, ids binary")
+
+    def use(rows: list[dict], order: np.ndarray):
+        none = np.zeros(0, np.int64)
+        flat = np.concatenate([none.astype("<u4"), *(dictionary.unpack(r["ids"]) for r in rows)])
+        got = np.concatenate([none, *(dictionary.unpack(r["sizes"]).astype(np.int64) for r in rows)])
+        size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        size[order], start[order] = got, np.cumsum(got) - got
 
         def texts(keys: list, sizes: np.ndarray, codes: np.ndarray) -> pa.Table:
             each = size[codes]
-            ids = dictionary.ragged(flat, off[:-1][codes], each)
+            ids = dictionary.ragged(flat, start[codes], each)
             at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
             return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))})
 
@@ -84,47 +90,54 @@ def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern:
     return dictionary.meet(dictionary.batch_texts(rows, split, batch), coded, use, "key long, ids array<int>")
 
 
-def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int]) -> DataFrame:
-    """(key, data binary) for each row: the tokens' bytes joined. Null ids count as none; an unknown id is an error."""
-    top = max(ranks.values(), default=-1) + 1
-    by_id = [b""] * top
+def _decoder(by_id: list[bytes]):
+    """A function that joins the bytes of the tokens of one text."""
+    table = np.frombuffer(b"".join(by_id), np.uint8)
+    size = np.array([len(x) for x in by_id], np.int64)
+    start = np.cumsum(size) - size
+
+    def text(ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return dictionary.ragged(table, start[ids], size[ids]).tobytes()
+
+    return text
+
+
+def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(by_id)
-    kind = df.schema[key].dataType.simpleString()
+    return by_id
 
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(b"".join(shared.value), np.uint8)
-        size = np.array([len(x) for x in shared.value], np.int64)
-        start = np.cumsum(size) - size
+
+def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int]) -> DataFrame:
+    """(key, data binary) for each row: the tokens' bytes joined. Null ids count as none; an unknown id is an error."""
+    shared = df.sparkSession.sparkContext.broadcast(_token_bytes(ranks))  # the vocabulary's size bounds it
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = _decoder(shared.value)
         for b in batches:
-            lists, out = b.column("ids"), []
-            at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            if len(flat) and (flat[at[0] : at[-1]].min(initial=0) < 0 or flat[at[0] : at[-1]].max(initial=0) >= len(size) or not size[flat[at[0] : at[-1]]].all()):
-                raise ValueError("an id is not in the vocabulary")
-            for i in range(len(lists)):
-                own = flat[at[i] : at[i + 1]]
-                out.append(dictionary.ragged(table, start[own], size[own]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], names=["key", "data"])
+            lists = b.column("ids")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([text(flat[at[i] : at[i + 1]]) for i in range(len(lists))], pa.binary())], names=["key", "data"])
 
-    rows = df.select(df[key].alias("key"), F.coalesce(df[ids], F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(bytes_of, f"key {kind}, data binary")
+    rows = df.select(df[key].alias("key"), F.coalesce(df[ids].cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(texts, f"key {df.schema[key].dataType.simpleString()}, data binary")
 
 
 def round_trip_digests(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded."""
-    import hashlib
-
-    coded = encode(df, key, text, ranks, pattern)
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text, encoded, and decoded from its ids as decode does."""
+    shared = df.sparkSession.sparkContext.broadcast(_token_bytes(ranks))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = _decoder(shared.value)
         for b in batches:
             lists = b.column("ids")
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            sha = [hashlib.sha256(flat[at[i] : at[i + 1]].astype("<u4").tobytes()).hexdigest() for i in range(len(lists))]
-            named = pa.StructArray.from_arrays([b.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(sha)], names=["key", "n_tokens", "ids_sha256"])
-            yield pa.RecordBatch.from_arrays([named, lists], names=["key", "ids"])
+            ids = [flat[at[i] : at[i + 1]] for i in range(len(lists))]
+            sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            back = [hashlib.sha256(text(x)).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    named = coded.mapInArrow(digests, "key struct<key: long, n_tokens: long, ids_sha256: string>, ids array<int>")
-    return decode(named, "key", "ids", ranks).select("key.key", "key.n_tokens", "key.ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+    return encode(df, key, text, ranks, pattern).mapInArrow(digests, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")

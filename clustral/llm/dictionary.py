@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .shared import kept
 
 #: Characters of text in a batch, and codes packed in a row.
-BATCH, PACK = 12_000_000, 1 << 20
+BATCH, PACK = 6_000_000, 1 << 18
 Split = Callable[[str], list]
 
 
@@ -68,31 +68,50 @@ def _numbered() -> defaultdict:
     return out
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 1)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    data = zlib.decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 + 4 * n
+    starts = [4 + 4 * n, *ends[:-1].tolist()]
+    return [data[s:e] for s, e in zip(starts, ends.tolist(), strict=False)]
+
+
 def batch_words(df: DataFrame, split: Split, counts: Callable[[object], bool] | None = None, limit: int = BATCH) -> DataFrame:
-    """(word binary, batch, code, n) of the distinct words of each batch; df has columns key and text.
+    """The distinct words of each batch, dealt to buckets by their hash: rows (bucket, batch, words, codes, counts), packed.
 
-    n counts the occurrences in rows whose key `counts` accepts; 0 without it.
+    counts are the occurrences in rows whose key `counts` accepts. Equal words meet in a bucket; the number of buckets
+    follows spark.sql.shuffle.partitions, which follows the input.
     """
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = _numbered(), np.zeros(1 << 16, np.int64)
         for batch, last, key, text in _batches(rows, limit):
             got = split(text)
             codes = np.fromiter(map(names.__getitem__, got), np.int64, len(got))
+            if len(names) > len(seen):
+                seen = np.concatenate([seen, np.zeros(max(len(seen), len(names)), np.int64)])
             if counts and len(codes) and counts(key):
-                if len(names) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(max(len(seen), len(names)), np.int64)])
                 np.add.at(seen, codes, 1)
-            if last:
-                n = len(names)
+            if last and names:
                 full = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in names]
-                for i in range(0, n, 50_000):
-                    part = full[i : i + 50_000]
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.binary()), "batch": pa.array(np.full(len(part), batch)), "code": pa.array(np.arange(i, i + len(part), dtype=np.int32)), "n": pa.array((seen[i : i + len(part)] if len(seen) >= i + len(part) else np.zeros(len(part), np.int64)).copy())})
                 names = _numbered()
+                bucket = np.fromiter(map(zlib.crc32, full), np.int64, len(full)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                out: dict[str, list] = {"bucket": [], "batch": [], "words": [], "codes": [], "counts": []}
+                for k in np.flatnonzero(np.diff(cut)):
+                    own = order[cut[k] : cut[k + 1]]
+                    for name, value in zip(out, (int(k), batch, pack_words([full[i] for i in own]), pack(np.diff(own, prepend=0)), pack(seen[own])), strict=True):
+                        out[name].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(out))
                 seen[:] = 0
 
-    return df.mapInArrow(words, "word binary, batch long, code int, n long")
+    return df.mapInArrow(words, "bucket int, batch long, words binary, codes binary, counts binary")
 
 
 def batch_texts(df: DataFrame, split: Split, limit: int = BATCH) -> DataFrame:
@@ -116,22 +135,20 @@ def batch_texts(df: DataFrame, split: Split, limit: int = BATCH) -> DataFrame:
     return df.mapInArrow(texts, "batch long, keys array<long>, sizes array<int>, codes binary")
 
 
-def meet(texts: DataFrame, words: DataFrame, use: Callable[[pa.Table], Callable], schema: str) -> DataFrame:
-    """Brings the words' rows (batch, code, ...) back to the texts of their batch.
+def meet(texts: DataFrame, words: DataFrame, use: Callable[[list[dict], np.ndarray], Callable], schema: str) -> DataFrame:
+    """Brings rows about the words (batch, codes, ...) back to the texts of their batch.
 
-    use(table of a batch's words in order of code) gives a function from (keys, sizes, codes) to an Arrow table.
+    use(a batch's rows, their codes one after another) gives a function from (keys, sizes, codes) to an Arrow table.
     """
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("code")
-        code = right.column("code").to_numpy()
-        if len(code) and (code[0] != 0 or code[-1] != len(code) - 1):
-            raise RuntimeError("the two passes over the texts have not met the same words")
-        each = use(right)
+        rows = right.to_pylist()
+        order = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(r["codes"]).astype(np.int64)) for r in rows)])
+        each = use(rows, order)
         out = []
         for row in left.to_pylist():
             codes = unpack(row["codes"])
-            if len(codes) and int(codes.max()) >= len(code):
+            if len(codes) and int(codes.max()) >= len(order):
                 raise RuntimeError("the two passes over the texts have not met the same words")
             out.append(each(row["keys"], np.array(row["sizes"], np.int64), codes))
         return pa.concat_tables(out)
