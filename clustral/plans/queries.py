@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import graphs as G
+from ..operators import kmeans as M
 from ..operators import relational as R
+from ..operators import validity as VA
+from .engine import Spark as Engine
 
 K = 16
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,3 +278,162 @@ def gla8_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ish2_removal_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cb = codebook(spark, sf_dir)
     return R.removal_costs(R.two_nearest(points(spark, sf_dir), cb), cb).withColumn("cost", F.col("cost").cast("double"))
+
+
+# validity, graphs, search
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, v, freq and the true label; elements quantised from [-1, 1] to 65535 steps."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    v = V.quantise(F.col("embedding"), F.lit(-1.0), F.lit(1.0), 65_535)
+    return rows.select(F.col("vec_id").alias("id"), v.alias("v"), F.lit(1).cast("bigint").alias("freq"), "label")
+
+
+@query(f"SELECT sum({_d2('x.c', 'y.c')})::DOUBLE AS ssb FROM cen x JOIN cen y ON x.cid < y.cid")
+def val3_ssb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.ssb(R.centroids(assigned(spark, sf_dir), codebook(spark, sf_dir)))
+
+
+_SP = "sp AS (SELECT cid, sum(sqrt(d2) * freq) / sum(freq) AS m FROM asg GROUP BY cid)"
+
+
+@query(f""", {_SP} SELECT round(avg(r), 9) AS davies_bouldin FROM (
+    SELECT x.cid, max((a.m + b.m) / sqrt({_d2('x.c', 'y.c')})) AS r FROM cb x JOIN cb y ON x.cid <> y.cid JOIN sp a ON a.cid = x.cid JOIN sp b ON b.cid = y.cid GROUP BY x.cid)""")
+def val5_davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.davies_bouldin(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("davies_bouldin", 9).alias("davies_bouldin"))
+
+
+@query(f"SELECT round((SELECT sum(d2 * freq)::DOUBLE / sum(freq) FROM asg) / (SELECT min({_d2('x.c', 'y.c')}) FROM cb x JOIN cb y ON x.cid < y.cid), 6) AS xie_beni")
+def val10_xie_beni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.xie_beni(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("xie_beni", 6).alias("xie_beni"))
+
+
+@query(f"""SELECT round(count(*) * sum(e) / sum(n * ({_d2('c', '[25, 5, 4]')})), 9) AS f_ratio FROM (
+    SELECT cid, sum(freq) AS n, sum(d2 * freq)::DOUBLE AS e FROM asg GROUP BY cid) a JOIN cb ON cb.cid = a.cid""")
+def val6_f_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centre = F.array(*(F.lit(x).cast("bigint") for x in (25, 5, 4)))
+    return VA.f_ratio(assigned(spark, sf_dir), codebook(spark, sf_dir), centre).select(F.round("f_ratio", 9).alias("f_ratio"))
+
+
+@query("""SELECT round(l - n * ln(n) - n * 3 / 2 * ln(2 * pi() * e / (3 * (n - k))) - 3 * (n - k) / 2 - k * 4 / 2 * ln(n), 3) AS bic FROM (
+    SELECT sum(n)::DOUBLE AS n, sum(e)::DOUBLE AS e, count(*)::DOUBLE AS k, sum(n * ln(n)) AS l FROM (SELECT cid, sum(freq) AS n, sum(d2 * freq) AS e FROM asg GROUP BY cid))""")
+def val11_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.bic(assigned(spark, sf_dir), 3).select(F.round("bic", 3).alias("bic"))
+
+
+_VAR = " + ".join(f"(sum(v[{i}] * v[{i}] * freq)::DOUBLE / sum(freq) - (sum(v[{i}] * freq)::DOUBLE / sum(freq)) ** 2) ** 2" for i in (1, 2, 3))
+
+
+@query(f"SELECT round((SELECT avg(l) FROM (SELECT sqrt({_VAR}) AS l FROM asg GROUP BY cid)) / (SELECT sqrt({_VAR}) FROM asg), 9) AS scatter")
+def val12_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.scatter(assigned(spark, sf_dir)).select(F.round("scatter", 9).alias("scatter"))
+
+
+_NEAR = lambda c: f"sum(CASE WHEN sqrt({_d2('a.v', c)}) <= sd THEN a.freq ELSE 0 END)"
+
+
+@query(f""", va AS (SELECT cid, sqrt({_VAR}) AS l FROM asg GROUP BY cid), dev AS (SELECT sqrt(sum(l)) / count(*) AS sd FROM va),
+    pr AS (SELECT x.cid AS a, y.cid AS b, x.c AS ca, y.c AS cb, [(x.c[1] + y.c[1]) // 2, (x.c[2] + y.c[2]) // 2, (x.c[3] + y.c[3]) // 2] AS m FROM cb x JOIN cb y ON x.cid < y.cid),
+    den AS (SELECT pr.a, pr.b, {_NEAR("pr.m")} AS m, greatest({_NEAR("pr.ca")}, {_NEAR("pr.cb")}) AS g FROM pr JOIN asg a ON a.cid = pr.a OR a.cid = pr.b, dev GROUP BY pr.a, pr.b)
+    SELECT round((SELECT avg(l) FROM va) / (SELECT sqrt({_VAR}) FROM asg) + (SELECT avg(CASE WHEN g > 0 THEN m / g ELSE 0 END) FROM den), 9) AS s_dbw""")
+def val14_s_dbw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.s_dbw(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("s_dbw", 9).alias("s_dbw"))
+
+
+@query("SELECT round(sum(CASE WHEN b.d2 > 0 THEN (sqrt(b.d2) - sqrt(a.d2)) / sqrt(b.d2) ELSE 0 END * a.freq) / sum(a.freq), 9) AS silhouette_ci FROM asg a JOIN ord b ON b.id = a.id AND b.r = 2")
+def val9_silhouette_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.simplified_silhouette(R.two_nearest(points(spark, sf_dir), codebook(spark, sf_dir))).select(F.round("silhouette_ci", 9).alias("silhouette_ci"))
+
+
+_ORPHANS = "(SELECT count(*) FROM {1} y WHERE y.cid NOT IN (SELECT near FROM (SELECT x.cid, y.cid AS near, row_number() OVER (PARTITION BY x.cid ORDER BY {2}, y.cid) AS r FROM {0} x, {1} y) WHERE r = 1))"
+
+
+@query(f"""SELECT greatest({_ORPHANS.format("cb", "oth", _d2("x.c", "y.c"))}, {_ORPHANS.format("oth", "cb", _d2("x.c", "y.c"))}) AS centroid_index
+    FROM (SELECT 1)""")
+def val18_centroid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.centroid_index(codebook(spark, sf_dir), codebook(spark, sf_dir, K, "other"))
+
+
+ORACLES["val18_centroid_index"] = ORACLES["val18_centroid_index"].replace("SELECT greatest", f", {_cb('oth', K, 'other')} SELECT greatest", 1)
+
+
+def external_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labellings of orders: by key and by price."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.pmod(F.col("o_orderkey"), F.lit(7)).alias("x"), F.pmod(F.floor(F.col("o_totalprice")), F.lit(5)).alias("y"))
+
+
+@query("""SELECT round((t + 2 * c - a - b) / t, 9) AS rand, round((c - a * b / t) / ((a + b) / 2 - a * b / t), 9) AS adjusted_rand,
+    round(2 * hab - ha - hb, 9) AS variation, round(2 * (ha + hb - hab) / (ha + hb), 9) AS nmi FROM (
+    SELECT n * (n - 1) / 2 AS t, c, a, b, ln(n) - eab / n AS hab, ln(n) - ea / n AS ha, ln(n) - eb / n AS hb FROM
+    (SELECT sum(k)::DOUBLE AS n, sum(k * (k - 1) / 2)::DOUBLE AS c, sum(k * ln(k)) AS eab FROM (SELECT count(*) AS k FROM orders GROUP BY o_orderkey % 7, floor(o_totalprice)::BIGINT % 5)),
+    (SELECT sum(k * (k - 1) / 2)::DOUBLE AS a, sum(k * ln(k)) AS ea FROM (SELECT count(*) AS k FROM orders GROUP BY o_orderkey % 7)),
+    (SELECT sum(k * (k - 1) / 2)::DOUBLE AS b, sum(k * ln(k)) AS eb FROM (SELECT count(*) AS k FROM orders GROUP BY floor(o_totalprice)::BIGINT % 5)))""")
+def val15_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = VA.external(external_labels(spark, sf_dir), "x", "y")
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@query(f"""SELECT src, dst, rank, dist FROM (SELECT a.id AS src, b.id AS dst, floor(sqrt({_d2('a.v', 'b.v')}))::BIGINT AS dist,
+    row_number() OVER (PARTITION BY a.id ORDER BY floor(sqrt({_d2('a.v', 'b.v')})), b.id) AS rank FROM pts a JOIN pts b ON a.id <> b.id) WHERE rank <= 5""")
+def grf1_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.knn_graph(points(spark, sf_dir), 5)
+
+
+@query()
+def den1_axis_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.axis_density(points(spark, sf_dir), 10)
+
+
+@query()
+def grf4_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return G.hulls(parts.select("p_brand", F.array(F.col("p_size").cast("bigint"), F.round("p_retailprice").cast("bigint")).alias("v")), "p_brand")
+
+
+def _solved(spark: SparkSession, s: M.Solution) -> DataFrame:
+    return spark.createDataFrame([(i, [int(x) for x in c], int(n), float(s.sse)) for i, (c, n) in enumerate(zip(s.codebook, s.n, strict=True))], "cid int, c array<bigint>, freq bigint, sse double")
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(points(spark, sf_dir).cache())
+
+
+@query()
+def km1_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solved(spark, M.kmeans(_lineitem(spark, sf_dir), K, "maxmin", iterations=10))
+
+
+@query()
+def rs1_random_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solved(spark, M.random_swap(Engine(_embeddings(spark, sf_dir).cache()), 10, 10))
+
+
+@query()
+def spl1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lineitem(spark, sf_dir)
+    return _solved(spark, M.split(e, e.sample(1, "0"), 8, "error"))
+
+
+@query()
+def pnn1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lineitem(spark, sf_dir)
+    c = M.random_init(e, 64)
+    return _solved(spark, M.lloyd(e, M.pnn(c, e.statistics(c).n, K)[0], 2))
+
+
+@query()
+def ish1_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lineitem(spark, sf_dir)
+    return _solved(spark, M.shrink(e, M.random_init(e, 12), 8))
+
+
+@query()
+def ims1_split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lineitem(spark, sf_dir)
+    return _solved(spark, M.split_and_merge(e, M.random_init(e, 8), 2, 1))
+
+
+@query()
+def ga1_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solved(spark, M.genetic(_lineitem(spark, sf_dir), 8, 1, 3))
