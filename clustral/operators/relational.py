@@ -112,6 +112,43 @@ def duplicates(codebook: DataFrame) -> DataFrame:
     return codebook.agg((F.count("*") - F.countDistinct("c")).alias("duplicates"))
 
 
+def stochastic_complexity(assigned: DataFrame, clusters: int) -> DataFrame:
+    """Bits a point that describing binary vectors by these clusters takes: the clusters' sizes, then each bit in each."""
+    lf = V.log2_factorial
+    ones = assigned.select("cid", "freq", F.posexplode("v").alias("dim", "x")).groupBy("cid", "dim").agg(F.sum("freq").alias("n"), F.sum(F.when(F.col("x") > 0, F.col("freq")).otherwise(0)).alias("f"))
+    bits = ones.agg(F.sum(lf(F.col("n") + 1) - lf(F.col("f")) - lf(F.col("n") - F.col("f"))).alias("bits"))
+    sizes = assigned.groupBy("cid").agg(F.sum("freq").alias("n")).agg(F.sum("n").alias("n"), F.sum(lf(F.col("n"))).alias("inside"))
+    n, k = F.col("n"), F.lit(clusters)
+    first = lf(n) - F.col("inside") + lf(n + k - 1) - lf(n - 1) - lf(k - 1)
+    return sizes.crossJoin(F.broadcast(bits)).select(((first + F.col("bits")) / n).alias("sc"))  # a row each
+
+
+def equal_width_picks(points: DataFrame, order: Column, k: int) -> DataFrame:
+    """Of points put in order (ties by id), the middle one of each of k parts: rank, id. Ranks are counted in ranges of
+    the order, so no task sorts all points."""
+    keyed = points.select("id", order.cast("double").alias("x"))
+    edges = keyed.approxQuantile("x", [i / 64 for i in range(1, 64)], 0.001)
+    part = F.lit(0)
+    for e in sorted(set(edges)):
+        part = part + (F.col("x") > e).cast("int")
+    parts = keyed.withColumn("part", part)
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))  # 64 rows at most
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("x", "id"))).join(F.broadcast(before.limit(64)), "part")
+    ranked = ranked.select("id", (F.col("before") + F.col("r") - 1).alias("rank"))
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    return ranked.where(F.col("rank").isin([(i * size + size // 2) // k for i in range(k)] if size else []))
+
+
+def sliding_density(points: DataFrame, dim: int, window: int) -> DataFrame:
+    """For each point the sum of distances in one dimension to the rows around it in that order (window // 2 on either
+    side, ties by id). One task sorts the dimension; use it on distinct points or samples."""
+    w = Window.orderBy("x", "id").rowsBetween(-(window // 2), window // 2)
+    rows = points.select("id", F.col("v")[dim].alias("x"))
+    near = rows.withColumn("near", F.collect_list("x").over(w))
+    return near.select("id", F.aggregate("near", F.lit(0).cast("bigint"), lambda s, y: s + F.abs(y - F.col("x"))).alias("sum"))
+
+
 def distinct_points(vectors: DataFrame, column: str = "v") -> DataFrame:
     """Equal vectors as one with their number as freq."""
     return vectors.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("freq"))

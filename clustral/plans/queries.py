@@ -437,3 +437,56 @@ def ims1_split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ga1_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solved(spark, M.genetic(_lineitem(spark, sf_dir), 8, 1, 3))
+
+
+_LF = lambda x: f"(lgamma(({x}) + 1) / ln(2))"
+_BIT = ", ".join(f"(v[{i}] > {x})::BIGINT" for i, x in ((1, 25), (2, 5), (3, 4)))
+
+
+@query(f"""SELECT round(({_LF("n")} - inside + {_LF("n + 15")} - {_LF("n - 1")} - {_LF("15")} + bits) / n, 6) AS sc FROM
+    (SELECT sum(n)::DOUBLE AS n, sum({_LF("n")}) AS inside FROM (SELECT cid, sum(freq)::DOUBLE AS n FROM asg GROUP BY cid)),
+    (SELECT sum({_LF("n + 1")} - {_LF("f")} - {_LF("n - f")}) AS bits FROM (
+        SELECT cid, i, sum(freq)::DOUBLE AS n, sum(CASE WHEN b[i] > 0 THEN freq ELSE 0 END)::DOUBLE AS f FROM (SELECT cid, freq, [{_BIT}] AS b FROM asg), range(1, 4) r(i) GROUP BY cid, i))""")
+def agg7_stochastic_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    bits = F.array(*((v[i] > x).cast("bigint") for i, x in ((0, 25), (1, 5), (2, 4))))
+    return R.stochastic_complexity(assigned(spark, sf_dir).withColumn("v", bits), K).select(F.round("sc", 6).alias("sc"))
+
+
+@query(f"""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY {_d2("v", "[25, 5, 4]")}, id) - 1 AS rank FROM pts), (SELECT count(*) AS n FROM pts)
+    WHERE rank IN (SELECT (i * n + n // 2) // 16 FROM range(16) r(i))""")
+def win1_equal_width_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centre = F.array(*(F.lit(x).cast("bigint") for x in (25, 5, 4)))
+    return R.equal_width_picks(points(spark, sf_dir), V.squared(F.col("v"), centre), K)
+
+
+@query("SELECT a.id, sum(abs(b.x - a.x))::BIGINT AS sum FROM (SELECT id, v[1] AS x, row_number() OVER (ORDER BY v[1], id) AS r FROM pts) a JOIN (SELECT v[1] AS x, row_number() OVER (ORDER BY v[1], id) AS r FROM pts) b ON b.r BETWEEN a.r - 5 AND a.r + 5 GROUP BY a.id")
+def win3_sliding_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sliding_density(points(spark, sf_dir), 0, 10)
+
+
+@query(f"""SELECT round(min(CASE WHEN p <> q THEN d END) / max(CASE WHEN p = q THEN d END), 9) AS dunn FROM
+    (SELECT a.cid AS p, b.cid AS q, ({_d2("a.v", "b.v")})::DOUBLE AS d FROM asg a JOIN asg b ON a.id < b.id)""")
+def val4_dunn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.dunn(assigned(spark, sf_dir)).select(F.round("dunn", 9).alias("dunn"))
+
+
+@query(f"""SELECT round(sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END * freq) / sum(freq), 9) AS silhouette FROM (
+    SELECT id, freq, max(CASE WHEN p = q THEN s / greatest(n + freq - 1, 1) END) AS a, min(CASE WHEN p <> q THEN s / n END) AS b FROM (
+        SELECT a.id, a.freq, a.cid AS p, b.cid AS q, sum(sqrt({_d2("a.v", "b.v")}) * b.freq) AS s, sum(b.freq) AS n FROM asg a JOIN asg b ON a.id <> b.id GROUP BY a.id, a.freq, a.cid, b.cid) GROUP BY id, freq)""")
+def val8_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.silhouette(assigned(spark, sf_dir)).select(F.round("silhouette", 9).alias("silhouette"))
+
+
+def _initial(name: str) -> Query:
+    def init(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _lineitem(spark, sf_dir)
+        c = M.INITS[name](e, 8)
+        return _solved(spark, M.Solution(c, e.statistics(c).n, e.statistics(c).sse))
+
+    init.__name__ = f"ini_{name.replace('+', 'p')}"
+    return init
+
+
+for _name in M.INITS:
+    query()(_initial(_name))
