@@ -144,10 +144,10 @@ class Spark:
                 yield pa.RecordBatch.from_pydict({"cid": pa.array(rows.astype(np.int32)), "s": pa.array(values.tolist(), pa.list_(pa.int64()))})
 
         parts = self.points.select("v", "freq").mapInArrow(partial, "cid int, s array<long>")
-        sums = [F.sum(F.col("s")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dim + 3)]
+        cells = parts.select("cid", F.posexplode("s").alias("i", "x")).groupBy("cid", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
         out = np.zeros((len(c), dim + 3), object)
-        for r in parts.groupBy("cid").agg(*sums).collect():  # at most a row a centroid
-            out[r["cid"]] = [int(x) for x in r[1:]]
+        for r in cells.collect():  # a row for each centroid and dimension at most
+            out[r["cid"], r["i"]] = int(r["x"])
         return Stats(out[:, 0].astype(np.int64), out[:, 3:], out[:, 1], out[:, 2])
 
     def sample(self, m: int, seed: str) -> np.ndarray:
@@ -176,3 +176,15 @@ class Spark:
 
 
 Points = Local | Spark
+#: Elements (points times dimensions) that `of` holds in memory.
+IN_MEMORY = 4_000_000
+
+
+def of(points: DataFrame, elements: int = IN_MEMORY) -> Points:
+    """The engine for a set: in memory up to so many elements, where a pass costs less than starting a job."""
+    engine = Spark(points)
+    if engine.size * engine.dim > elements:
+        return engine
+    rows = engine.points.orderBy("id").toArrow()  # of the size just checked
+    x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, engine.dim) if engine.size else np.zeros((0, 1), np.int64)
+    return Local(x, rows.column("freq").to_numpy(), rows.column("id").to_numpy())

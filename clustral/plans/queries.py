@@ -16,7 +16,7 @@ from ..operators import graphs as G
 from ..operators import kmeans as M
 from ..operators import relational as R
 from ..operators import validity as VA
-from .engine import Spark as Engine
+from .engine import Points, of
 
 K = 16
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,8 +395,8 @@ def _solved(spark: SparkSession, s: M.Solution) -> DataFrame:
     return spark.createDataFrame([(i, [int(x) for x in c], int(n), float(s.sse)) for i, (c, n) in enumerate(zip(s.codebook, s.n, strict=True))], "cid int, c array<bigint>, freq bigint, sse double")
 
 
-def _lineitem(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(points(spark, sf_dir).cache())
+def _lineitem(spark: SparkSession, sf_dir: str) -> Points:
+    return of(points(spark, sf_dir).cache())
 
 
 @query()
@@ -406,7 +406,7 @@ def km1_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rs1_random_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solved(spark, M.random_swap(Engine(_embeddings(spark, sf_dir).cache()), 10, 10))
+    return _solved(spark, M.random_swap(of(_embeddings(spark, sf_dir).cache()), 10, 100))
 
 
 @query()

@@ -7,7 +7,7 @@ from clustral.operators import graphs as G
 from clustral.operators import kmeans as M
 from clustral.operators import relational as R
 from clustral.operators import validity as VA
-from clustral.plans.engine import Local, Spark, distances, nearest
+from clustral.plans.engine import Local, Spark, distances, nearest, of
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +41,8 @@ def test_engines_agree(spark, blobs):
     assert both[0].sse == both[1].sse and (both[0].n == both[1].n).all() and (both[0].sums == both[1].sums).all()
     assert (Local(local.x).sample(7, "s") == Spark(frame(spark, local)).sample(7, "s")).all()
     assert M.lloyd(local, c).sse == M.lloyd(Spark(frame(spark, local)), c).sse
+    assert isinstance(of(frame(spark, local)), Local) and isinstance(of(frame(spark, local), 10), Spark)
+    assert of(frame(spark, local)).statistics(c).sse == both[0].sse
 
 
 def test_every_init_gives_k(blobs):
