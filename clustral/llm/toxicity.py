@@ -62,7 +62,7 @@ def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: i
         yield i, j, hit >> bits, hit & ((1 << bits) - 1)
 
 
-def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (4, 6, 8), bits: int = 18, penalty: float = 1.0, steps: int = 120) -> Model:
+def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7), bits: int = 18, penalty: float = 3.0, steps: int = 120) -> Model:
     """Fits the model on rows, whose number the caller bounds. Rows with a null label are left out, null texts are empty.
 
     Without any positive or any negative row the score is the smoothed share of positives for every text.
@@ -79,35 +79,53 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (4, 6,
 
     given = rows.select(rows[text].alias("text"), rows[label].cast("int").alias("label")).where("label is not null")
     got = given.mapInArrow(extract, "label int, buckets binary").toArrow()
-    return fit_lists(got.column("label").to_numpy().astype(float), [np.frombuffer(x.as_py(), "<i4") for x in got.column("buckets")], orders, bits, penalty, steps)
-
-
-def fit_lists(y: np.ndarray, lists: list[np.ndarray], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
-    """fit for rows whose labels y and buckets are at hand."""
-    size = np.array([len(x) for x in lists], np.int64)
-    index = np.concatenate([*lists, np.zeros(0, "<i4")])
-    row = np.repeat(np.arange(len(y)), size)
+    y = got.column("label").to_numpy().astype(float)
+    blocks = []
+    for chunk in got.column("buckets").chunks:
+        data, off = flat(chunk)
+        for i, j in pieces(off, 1 << 22):
+            blocks.append((np.diff(off[i : j + 1]) // 4, data[off[i] : off[j]].view("<i4").copy()))
+    del got
+    return fit_blocks(y, blocks, orders, bits, penalty, steps)
+
+
+def fit_blocks(y: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
+    """fit for rows at hand: labels, and for blocks of rows the numbers of their buckets and the buckets."""
     width, positive = 1 << bits, float(y.sum())
     prior = (positive + 1) / (len(y) + 2)
     bias = float(np.log(prior / (1 - prior)))
     if not 0 < positive < len(y):
         return Model(np.zeros(width), bias, orders)
-    p, q = np.bincount(index, y[row], width) + 1, np.bincount(index, 1 - y[row], width) + 1
+    p, q = np.ones(width), np.ones(width)
+    ends = np.cumsum([0, *(len(size) for size, _ in blocks)])
+    labels = [y[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    for own, (size, index) in zip(labels, blocks, strict=True):
+        each = np.repeat(own, size)
+        p += np.bincount(index, each, width)
+        q += np.bincount(index, 1 - each, width)
     ratio = np.log(p / (positive + 2)) - np.log(q / (len(y) - positive + 2))
     ratio[(p + q) < 5] = 0
+    parts = []
+    for own, (size, index) in zip(labels, blocks, strict=True):
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        useful = ratio[index] != 0
+        parts.append((own, row[useful], index[useful]))
+    blocks.clear()
     w, m, v = np.zeros(width), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, (w * ratio)[index], len(y))
-        miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        g = np.append(np.bincount(index, miss[row], width) * ratio + penalty * w, miss.sum())
+        scaled, g, slope = w * ratio, np.zeros(width), 0.0
+        for own, row, index in parts:
+            z = bias + np.bincount(row, scaled[index], len(own))
+            miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - own
+            g += np.bincount(index, miss[row], width)
+            slope += float(miss.sum())
+        g = np.append(g * ratio + penalty * w, slope)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.02 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
     return Model(w * ratio, bias, orders)
 
 
-
-
 def score(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """(key, score double) for every row: from 0 to 1, higher for a likelier label 1. Null texts count as empty, which
     have the bias's score. Repeated rows stay, other columns are ignored, an empty table gives an empty result."""
