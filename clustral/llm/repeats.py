@@ -2,7 +2,8 @@
 
 A text's bytes are cut into fragments: the windows of `length` bytes whose smallest k-gram hash is at the same place make
 one. Equal windows have equal smallest k-grams, so only fragments that meet under the same k-gram can share windows, and
-fragments whose k-gram occurs once are done. The rest meet by k-gram in a shuffle, equal ones with their bytes once. There
+fragments whose k-gram occurs once are done. The rest meet by k-gram in a shuffle, to which a task sends each distinct one
+once or, if it has met it again, twice; what is found returns to all places of a fragment by a join. Where they meet
 a suffix array of the fragments, read as letters of BLOCK bytes counted from the k-gram, shows which share enough letters
 for a window, and a window is repeated if another there has the same bytes.
 """
@@ -130,19 +131,27 @@ def covered(df: DataFrame, length: int) -> DataFrame:
     packed = np.frombuffer(bit_map(grams.where("n > 1"), "k", BITS), np.int64)  # of fixed size
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes, dict[str, np.ndarray]]]:
         for content, data, f in _scan(batches, length):
-            key, full = f["key"].astype(np.int64), data.tobytes()
-            kept = np.flatnonzero(in_bit_map(shared.value, key, BITS))
-            low, high, hashes = f["low"][kept], f["high"][kept], f["hash"][kept].astype(np.int64)
-            texts = []
-            for a, b, h in zip(low.tolist(), high.tolist(), hashes.tolist(), strict=True):
-                texts.append(None if h in known else full[a : b + length])
-                known.add(h)
-            row = f["row"][kept]
-            begins = np.searchsorted(f["row"], row)  # a row's first fragment starts at the row's first byte
-            yield pa.RecordBatch.from_pydict({"k": pa.array(key[kept]), "h": pa.array(hashes), "content": pa.array(content[row]), "low": pa.array(low - f["low"][begins]), "place": pa.array((f["place"][kept] - low).astype(np.int32)), "part": pa.array(texts, pa.binary())})
+            stays = in_bit_map(shared.value, f["key"].astype(np.int64), BITS)
+            begins = np.searchsorted(f["row"], f["row"])  # a row's first fragment starts at the row's first byte
+            f["at"] = f["low"] - f["low"][begins]
+            yield content, data.tobytes(), {k: x[stays] for k, x in f.items()}
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+        for _, full, f in places(batches):
+            own, texts = [], []
+            for i, (a, b, h) in enumerate(zip(f["low"].tolist(), f["high"].tolist(), f["hash"].tolist(), strict=True)):
+                times = known[h] = known.get(h, 0) + 1
+                if times <= 2:  # a task tells of a fragment once, and once more if it meets it again
+                    own.append(i)
+                    texts.append(full[a : b + length] if times == 1 else None)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(f["key"][own].astype(np.int64)), "h": pa.array(f["hash"][own].astype(np.int64)), "place": pa.array((f["place"] - f["low"])[own].astype(np.int32)), "part": pa.array(texts, pa.binary())})
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content, _, f in places(batches):
+            yield pa.RecordBatch.from_pydict({"h": pa.array(f["hash"].astype(np.int64)), "content": pa.array(content[f["row"]]), "at": pa.array(f["at"])})
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -165,11 +174,9 @@ def covered(df: DataFrame, length: int) -> DataFrame:
             if len(use):
                 for w, r in zip(use.tolist(), repeated_windows(k[first][use].astype(U), [bytes_[w] for w in use.tolist()], table.column("place").to_numpy()[first][use], times[use] > 1, length), strict=True):
                     runs[w] = r
-            each = np.array([len(r) for r in runs])[which]
-            row = np.repeat(np.arange(len(which)), each)
-            flat_ = np.array([x for w in which.tolist() for x in runs[w]], np.int64).reshape(-1, 2)
-            low = table.column("low").to_numpy()[row]
-            return pa.RecordBatch.from_pydict({"content": pa.array(table.column("content").to_numpy()[row]), "low": pa.array(low + flat_[:, 0]), "high": pa.array(low + flat_[:, 1] + length)})
+            row = np.repeat(first, [len(r) for r in runs])
+            ends = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_pydict({"f": pa.array(h[row]), "a": pa.array(ends[:, 0].copy()), "b": pa.array(ends[:, 1].copy())})
 
         for b in batches:
             if not b.num_rows:
@@ -189,8 +196,11 @@ def covered(df: DataFrame, length: int) -> DataFrame:
         if rows:
             yield done(pa.concat_tables(held).combine_chunks())
 
-    found = df.select("content", "text").mapInArrow(parts, "k long, h long, content long, low long, place int, part binary")
-    return found.repartition("k").sortWithinPartitions("k", "h").mapInArrow(resolved, "content long, low long, high long")
+    texts = df.select("content", "text")
+    met = texts.mapInArrow(parts, "k long, h long, place int, part binary").repartition("k").sortWithinPartitions("k", "h")
+    runs = met.mapInArrow(resolved, "f long, a long, b long")
+    at = texts.mapInArrow(occurrences, "h long, content long, at long")
+    return at.join(runs, at["h"] == runs["f"]).select("content", (F.col("at") + F.col("a")).alias("low"), (F.col("at") + F.col("b") + length).alias("high"))
 
 
 def remove_repeats(df: DataFrame, key: str, text: str, length: int = 400) -> DataFrame:
