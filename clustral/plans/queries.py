@@ -207,6 +207,11 @@ def vec10_unrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unrolled(points(spark, sf_dir).where("freq < 4")).groupBy("id").agg(F.count("*").alias("copies"))
 
 
+@query("SELECT id, count(*) AS copies FROM pts, range(1, freq + 1) r(copy) GROUP BY id")
+def vec10_unrolled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.unrolled(points(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("copies"))
+
+
 @query(f"""SELECT id, v[1] * 3 + v[2] * 5 + v[3] * 7 AS dot, v[1] + v[2] + v[3] AS total, floor((v[1] + v[2] + v[3]) / 3.0 + 0.5)::BIGINT AS mean,
     (v[1] + 3) // 2 AS mid0, v[2] - 5 AS minus1, {_d2('v', '[3, 5, 7]')} AS d2, floor(sqrt({_d2('v', '[3, 5, 7]')}))::BIGINT AS euclid,
     abs(v[1] - 3) + abs(v[2] - 5) + abs(v[3] - 7) AS manhattan, v > [3, 5, 7] AS greater FROM pts""")
