@@ -1,7 +1,7 @@
 """A character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct character n-grams it has where words begin (the first character is the white space or
-sign before the word), hashed to a fixed number of buckets, A-Z lower-cased; whole texts are read. The
+A text's features are the distinct character n-grams it has at any position, or the text itself if it is shorter than all
+of them, hashed to a fixed number of buckets, A-Z lower-cased; whole texts are read. The
 ratio of a bucket is the logarithm of its share of positive rows over its share of negative rows, both smoothed by one.
 A logistic regression on the features times their ratios gives the score. Only the text enters a score.
 """
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .text import _LOWER, flat, pieces
 
-#: A counted n-gram begins with one of these, that is where a word begins.
-_GAP = np.frombuffer(" \t\n\r\"'(|".encode("utf-32-le"), "<u4").astype(np.uint64)
 #: Texts whose features are marked at once.
 BLOCK = 64
+#: Rows of a group that is fitted at once; their numbers fit a byte.
+GROUP = 256
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _hash(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n characters."""
+    m = len(points) - n + 1
+    h = np.full(m, n, np.uint64)
+    for k in range(n):
+        h = (h ^ points[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For blocks of rows [i, j): each row's distinct buckets, as (i, j, row in the block, bucket)."""
     marks = np.zeros(BLOCK << bits, bool)
@@ -46,16 +56,15 @@ def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: i
         points = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         at = np.concatenate([[0], lead])[off[i : j + 1] - off[i]]
         row = np.repeat(np.arange(j - i), np.diff(at))
-        gap = np.isin(points, _GAP)
+        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < min(orders))).tolist():
+            h = _hash(points[at[k] : at[k + 1]], int(at[k + 1] - at[k]))
+            marks[(k << bits) + int(h[0] >> np.uint64(64 - bits))] = True
         for n in orders:
             m = len(points) - n + 1
             if m <= 0:
                 continue
-            h = np.full(m, n, np.uint64)
-            for k in range(n):
-                h = (h ^ points[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            inside = (row[:m] == row[n - 1 :]) & gap[:m]
+            h = _hash(points, n)
+            inside = row[:m] == row[n - 1 :]
             marks[(row[:m][inside] << bits) + (h[inside] >> np.uint64(64 - bits)).astype(np.int64)] = True
         hit = np.flatnonzero(marks[: (j - i) << bits])
         marks[hit] = False
@@ -68,56 +77,64 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7)
     Without any positive or any negative row the score is the smoothed share of positives for every text.
     """
 
+    def grouped(held: list[tuple]) -> pa.RecordBatch:
+        labels, row, buckets = (np.concatenate(x) for x in zip(*held, strict=True))
+        row = row.astype(np.uint8)[np.argsort(buckets, kind="stable")]
+        sizes = np.bincount(buckets, minlength=1 << bits).astype("<u2")
+        return pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()], pa.binary()) for c, x in (("labels", labels.astype("<i4")), ("sizes", sizes), ("rows", row))})
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             data, off = flat(b.column("text"))
             labels = b.column("label").to_numpy()
             for i, j, r, buckets in features(data, off, orders, bits):
-                cut = np.searchsorted(r, np.arange(j - i + 1))
-                parts = [buckets[cut[k] : cut[k + 1]].astype("<i4").tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_pydict({"label": pa.array(labels[i:j].astype(np.int32)), "buckets": pa.array(parts, pa.binary())})
+                if n + j - i > GROUP:
+                    yield grouped(held)
+                    held, n = [], 0
+                held.append((labels[i:j], r + n, buckets))
+                n += j - i
+        if held:
+            yield grouped(held)
 
     given = rows.select(rows[text].alias("text"), rows[label].cast("int").alias("label")).where("label is not null")
-    got = given.mapInArrow(extract, "label int, buckets binary").toArrow()
-    y = got.column("label").to_numpy().astype(float)
-    blocks = []
-    for chunk in got.column("buckets").chunks:
-        data, off = flat(chunk)
-        for i, j in pieces(off, 1 << 22):
-            blocks.append((np.diff(off[i : j + 1]) // 4, data[off[i] : off[j]].view("<i4").copy()))
-    del got
-    return fit_blocks(y, blocks, orders, bits, penalty, steps)
-
-
-def fit_blocks(y: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
-    """fit for rows at hand: labels, and for blocks of rows the numbers of their buckets and the buckets."""
-    width, positive = 1 << bits, float(y.sum())
-    prior = (positive + 1) / (len(y) + 2)
+    # of a bounded number of rows; dealt to few tasks, so that groups are full
+    got = given.repartition(12).mapInArrow(extract, "labels binary, sizes binary, rows binary").toArrow()
+    view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    columns = [got.column(c) for c in got.column_names]
+    blocks = [(view(y, "<i4").astype(float), view(s, "<u2"), view(r, np.uint8)) for y, s, r in zip(*columns, strict=True)]
+    return fit_blocks(blocks, orders, bits, penalty, steps)
+
+
+def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
+    """fit for groups of at most GROUP rows at hand: their labels, how many of them each bucket is in, and which, bucket by
+    bucket. A pass then stays within tables of a group's size."""
+    width, rows, positive = 1 << bits, sum(len(y) for y, _, _ in blocks), float(sum(y.sum() for y, _, _ in blocks))
+    prior = (positive + 1) / (rows + 2)
     bias = float(np.log(prior / (1 - prior)))
-    if not 0 < positive < len(y):
+    if not 0 < positive < rows:
         return Model(np.zeros(width), bias, orders)
+
+    def add(into: np.ndarray, values: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
+        """Adds to each bucket the values of its rows."""
+        some = np.flatnonzero(size)
+        if len(some):
+            into[some] += np.add.reduceat(values[row], (np.cumsum(size, dtype=np.int64) - size)[some])
+
     p, q = np.ones(width), np.ones(width)
-    ends = np.cumsum([0, *(len(size) for size, _ in blocks)])
-    labels = [y[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    for own, (size, index) in zip(labels, blocks, strict=True):
-        each = np.repeat(own, size)
-        p += np.bincount(index, each, width)
-        q += np.bincount(index, 1 - each, width)
-    ratio = np.log(p / (positive + 2)) - np.log(q / (len(y) - positive + 2))
+    for own, size, row in blocks:
+        add(p, own, size, row)
+        add(q, 1 - own, size, row)
+    ratio = np.log(p / (positive + 2)) - np.log(q / (rows - positive + 2))
     ratio[(p + q) < 5] = 0
-    parts = []
-    for own, (size, index) in zip(labels, blocks, strict=True):
-        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        useful = ratio[index] != 0
-        parts.append((own, row[useful], index[useful]))
-    blocks.clear()
     w, m, v = np.zeros(width), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         scaled, g, slope = w * ratio, np.zeros(width), 0.0
-        for own, row, index in parts:
-            z = bias + np.bincount(row, scaled[index], len(own))
+        for own, size, row in blocks:
+            at = row.astype(np.intp)
+            z = bias + np.bincount(at, np.repeat(scaled, size), len(own))
             miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - own
-            g += np.bincount(index, miss[row], width)
+            add(g, miss, size, at)
             slope += float(miss.sum())
         g = np.append(g * ratio + penalty * w, slope)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
