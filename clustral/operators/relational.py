@@ -64,7 +64,7 @@ def attract(assigned: DataFrame, codebook: DataFrame, fresh: list[int]) -> DataF
 
 def with_centroid(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     """assigned with its cluster's centroid c."""
-    return assigned.join(F.broadcast(codebook.select("cid", "c").limit(LARGEST)), "cid")
+    return assigned.join(codebook.select("cid", "c"), "cid")
 
 
 def counters(assigned: DataFrame) -> DataFrame:
@@ -231,13 +231,13 @@ def removal_costs(two: DataFrame, codebook: DataFrame) -> DataFrame:
 def distance_matrix(codebook: DataFrame) -> DataFrame:
     """a < b and d2 for all pairs of centroids."""
     one, two = codebook.select(F.col("cid").alias("a"), F.col("c").alias("ca")), codebook.select(F.col("cid").alias("b"), F.col("c").alias("cb"))
-    return one.join(F.broadcast(two.limit(LARGEST)), F.col("a") < F.col("b")).select("a", "b", V.squared(F.col("ca"), F.col("cb")).alias("d2"))
+    return one.join(two, F.col("a") < F.col("b")).select("a", "b", V.squared(F.col("ca"), F.col("cb")).alias("d2"))
 
 
 def gabriel_neighbours(codebook: DataFrame) -> DataFrame:
     """Pairs of centroids whose midpoint has no nearer centroid than the two."""
     one, two = codebook.select(F.col("cid").alias("a"), F.col("c").alias("ca")), codebook.select(F.col("cid").alias("b"), F.col("c").alias("cb_"))
-    pairs = one.join(F.broadcast(two.limit(LARGEST)), F.col("a") < F.col("b")).withColumn("v", V.midpoint(F.col("ca"), F.col("cb_")))
+    pairs = one.join(two, F.col("a") < F.col("b")).withColumn("v", V.midpoint(F.col("ca"), F.col("cb_")))
     pairs = pairs.select(F.struct("a", "b").alias("id"), "v", F.lit(1).alias("freq"))
     return assign(pairs, codebook).where((F.col("cid") == F.col("id.a")) | (F.col("cid") == F.col("id.b"))).select("id.a", "id.b")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .relational import LARGEST, assign, distance_matrix
+from .relational import _with_codebook, assign, distance_matrix
 
 
 def _spread(assigned: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def davies_bouldin(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     both = d.union(d.select("b", "a", "d2"))
     one, two = s.select(F.col("cid").alias("a"), F.col("mean").alias("ma")), s.select(F.col("cid").alias("b"), F.col("mean").alias("mb"))
     ratio = (F.col("ma") + F.col("mb")) / F.sqrt(F.col("d2").cast("double"))
-    worst = both.join(F.broadcast(one.limit(LARGEST)), "a").join(F.broadcast(two.limit(LARGEST)), "b").where("d2 > 0").groupBy("a").agg(F.max(ratio).alias("r"))
+    worst = both.join(one, "a").join(two, "b").where("d2 > 0").groupBy("a").agg(F.max(ratio).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
@@ -44,7 +44,7 @@ def xie_beni(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
 def f_ratio(assigned: DataFrame, codebook: DataFrame, centre: Column) -> DataFrame:
     """K times the error within clusters over that of the centroids around `centre`."""
     within = _spread(assigned)
-    joined = within.join(F.broadcast(codebook.select("cid", "c").limit(LARGEST)), "cid")
+    joined = within.join(codebook.select("cid", "c"), "cid")
     between = F.sum(F.col("n") * V.squared(F.col("c"), centre))
     return joined.agg((F.count("*") * F.sum("sse") / between).alias("f_ratio"))
 
@@ -109,10 +109,13 @@ def s_dbw(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     """Scatter plus the mean density at the midpoints of pairs of centroids, relative to the denser end."""
     deviation = variances(assigned, ["cid"]).groupBy("cid").agg(F.sqrt(F.sum(F.col("var") * F.col("var"))).alias("len")).agg((F.sqrt(F.sum("len")) / F.count("*")).alias("sd"))
     sd = deviation.first()["sd"] or 0.0  # one row
-    one, two = codebook.select(F.col("cid").alias("a"), F.col("c").alias("ca")), codebook.select(F.col("cid").alias("b"), F.col("c").alias("cb"))
-    pairs = F.broadcast(one.join(F.broadcast(two.limit(LARGEST)), F.col("a") < F.col("b")).withColumn("mid", V.midpoint(F.col("ca"), F.col("cb"))).limit(LARGEST))
     near = lambda c: F.sum(F.when(F.sqrt(V.squared(F.col("v"), c).cast("double")) <= sd, F.col("freq")).otherwise(0))
-    met = assigned.join(pairs, (F.col("cid") == F.col("a")) | (F.col("cid") == F.col("b"))).groupBy("a", "b").agg(near(F.col("mid")).alias("m"), near(F.col("ca")).alias("na"), near(F.col("cb")).alias("nb"))
+    # a point meets the pairs of its own cluster: only the codebook, whose size is checked, is broadcast
+    mine, other = F.filter("cb", lambda k: k["cid"] == F.col("cid")), F.filter("cb", lambda k: k["cid"] != F.col("cid"))
+    each = _with_codebook(assigned.select("cid", "v", "freq"), codebook).select("cid", "v", "freq", F.get(mine, F.lit(0))["c"].alias("own"), F.explode(other).alias("k")).where("own is not null")
+    first = F.col("cid") < F.col("k.cid")
+    ends = each.select("v", "freq", "own", "k", F.least("cid", "k.cid").alias("a"), F.greatest("cid", "k.cid").alias("b"), F.when(first, F.col("own")).otherwise(F.col("k.c")).alias("ca"), F.when(first, F.col("k.c")).otherwise(F.col("own")).alias("cb"))
+    met = ends.withColumn("mid", V.midpoint(F.col("ca"), F.col("cb"))).groupBy("a", "b").agg(near(F.col("mid")).alias("m"), near(F.col("ca")).alias("na"), near(F.col("cb")).alias("nb"))
     density = met.agg(F.avg(F.when(F.greatest("na", "nb") > 0, F.col("m") / F.greatest("na", "nb")).otherwise(0.0)).alias("density"))
     return scatter(assigned).crossJoin(F.broadcast(density)).select((F.col("scatter") + F.coalesce("density", F.lit(0.0))).alias("s_dbw"))  # a row each
 

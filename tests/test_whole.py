@@ -2,10 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import __spark_entry__ as entry
 from clustral.llm import text as T
 from clustral.llm import toxicity
+from clustral.operators import relational as R
+from clustral.operators import validity as VA
 
 
 def test_every_point_is_unrolled(spark):
@@ -31,3 +34,27 @@ def test_toxicity_features_by_brute_force():
     (_, _, r, _), = toxicity.features(data, off, (5, 7), 18)
     grams = [{t[i : i + n] for n in (5, 7) for i in range(len(t) - n + 1)} or {t} - {""} for t in texts]
     assert np.bincount(r, minlength=5).tolist() == [len(g) for g in grams]
+
+
+def test_s_dbw_takes_every_pair(spark):
+    rng = np.random.default_rng(5)
+    c = np.sort(rng.choice(4000, 400, replace=False))
+    of = np.concatenate([np.arange(400), np.arange(400)])
+    x = c[of] + rng.integers(-6, 7, 800)
+    cb = spark.createDataFrame([(i, [int(v)], 1) for i, v in enumerate(c)], "cid int, c array<bigint>, freq long")
+    own = spark.createDataFrame([(i, [int(v)], 1, int(k), 0) for i, (v, k) in enumerate(zip(x, of, strict=True))], "id long, v array<bigint>, freq long, cid int, d2 long")
+    var = np.array([x[of == k].var() for k in range(400)])
+    sd, means = np.sqrt(var.sum()) / 400, []
+    inside = lambda at, k: int((np.abs(x[(of == k[0]) | (of == k[1])] - at) <= sd).sum())
+    for a in range(400):
+        for b in range(a + 1, 400):
+            top = max(inside(c[a], (a, b)), inside(c[b], (a, b)))
+            means.append(inside((c[a] + c[b]) // 2, (a, b)) / top if top else 0)
+    assert VA.s_dbw(own, cb).first()[0] == pytest.approx(var.mean() / x.var() + np.mean(means))
+
+
+def test_no_centroid_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(R, "LARGEST", 3)
+    cb = spark.createDataFrame([(i, [i], 1) for i in range(6)], "cid int, c array<bigint>, freq long")
+    assert R.distance_matrix(cb).count() == 15
+    assert R.with_centroid(cb.select("cid"), cb).count() == 6
