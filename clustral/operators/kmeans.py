@@ -208,17 +208,40 @@ def splitting_init(points: Points, k: int, iterations: int = 5, seed: str = "0")
 
 
 def density_init(points: Points, k: int, neighbours: int = 0, seed: str = "0") -> np.ndarray:
-    """Density peaks on the sample: the points of the largest distance to a denser one, times their density."""
+    """Density peaks of all points: those of the largest distance to a denser one, times their density; ties to the
+    smaller id. Every point meets every other, in blocks."""
     _check(points, k)
-    x = points.sample(min(points.size, max(2_000, k)), seed)
-    near = neighbours or min(50, max(2, len(x) // k // 2))
-    root = np.floor(np.sqrt(distances(x, x)))
-    density = near / (np.sort(root, 1)[:, 1 : near + 1].sum(1) + 1e-20)
-    order = np.argsort(-density, kind="stable")
-    delta = np.full(len(x), root.max(initial=0))
-    for r in range(1, len(order)):
-        delta[order[r]] = root[order[r], order[:r]].min()
-    return x[np.argsort(-(delta * density), kind="stable")[:k]]
+    near = neighbours or min(50, max(2, points.size // k // 2))
+    if not isinstance(points, Local):
+        return _density_peaks(points, k, near)
+    x, step = points.x, max(1, 4_000_000 // points.size)
+    root = lambda a, b: np.floor(np.sqrt(distances(a, b)))
+    density = np.zeros(len(x))
+    for i in range(0, len(x), step):
+        d = root(x[i : i + step], x)
+        some = min(near + 1, len(x))
+        density[i : i + step] = near / (np.partition(d, some - 1, 1)[:, :some].sum(1) + 1e-20)
+    order = np.lexsort((points.ids, -density))
+    delta = np.full(len(x), np.inf)  # of the densest, which comes first
+    for i in range(0, len(x), step):
+        d = root(x[order[i : i + step]], x[order[: i + step]])
+        d[np.arange(d.shape[1]) >= i + np.arange(len(d))[:, None]] = np.inf
+        delta[order[i : i + step]] = d.min(1)
+    return x[np.lexsort((points.ids, -(delta * density)))[:k]]
+
+
+def _density_peaks(points: Points, k: int, near: int) -> np.ndarray:
+    """density_init on Spark."""
+    from pyspark.sql import functions as F
+
+    from . import graphs
+
+    sums = graphs.knn_graph(points.points, near).groupBy(F.col("src").alias("id")).agg(F.sum("dist").cast("double").alias("sum"))
+    density = sums.select("id", (F.lit(float(near)) / (F.col("sum") + F.lit(1e-20))).alias("density"))
+    peak = F.coalesce(F.col("delta").cast("double"), F.lit(float("inf"))) * F.col("density")
+    top = graphs.peak_deltas(points.points, density).select("id", peak.alias("peak")).orderBy(F.desc("peak"), "id").limit(k)
+    rows = points.points.join(F.broadcast(top), "id").orderBy(F.desc("peak"), "id").collect()  # k rows
+    return np.array([r["v"] for r in rows], np.int64).reshape(-1, points.dim)
 
 
 def overlap_init(points: Points, k: int, variant: float = 2.0, seed: str = "0") -> np.ndarray:

@@ -7,8 +7,10 @@ import pytest
 import __spark_entry__ as entry
 from clustral.llm import text as T
 from clustral.llm import toxicity
+from clustral.operators import kmeans as M
 from clustral.operators import relational as R
 from clustral.operators import validity as VA
+from clustral.plans.engine import Local, Spark
 
 
 def test_every_point_is_unrolled(spark):
@@ -58,3 +60,19 @@ def test_no_centroid_is_dropped(spark, monkeypatch):
     cb = spark.createDataFrame([(i, [i], 1) for i in range(6)], "cid int, c array<bigint>, freq long")
     assert R.distance_matrix(cb).count() == 15
     assert R.with_centroid(cb.select("cid"), cb).count() == 6
+
+
+def test_density_peaks_of_all_points(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 300, (2500, 2))
+    local = Local(x)
+    root = np.floor(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    density = 50 / (np.sort(root, 1)[:, 1:51].sum(1) + 1e-20)
+    order = np.argsort(-density, kind="stable")
+    delta = np.full(2500, np.inf)
+    for r in range(1, 2500):
+        delta[order[r]] = root[order[r], order[:r]].min()
+    want = x[np.argsort(-(delta * density), kind="stable")[:6]].tolist()
+    assert M.density_init(local, 6).tolist() == want
+    rows = spark.createDataFrame([(i, [int(a) for a in v], 1) for i, v in enumerate(x[:200])], "id long, v array<bigint>, freq long")
+    assert M.density_init(Spark(rows), 6).tolist() == M.density_init(Local(x[:200]), 6).tolist()
