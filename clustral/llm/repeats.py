@@ -5,7 +5,7 @@ one. Equal windows have equal smallest k-grams, so only fragments that meet unde
 fragments whose k-gram occurs once are done. The rest meet by k-gram in a shuffle, to which a task sends each distinct one
 once or, if it has met it again, twice; what is found returns to all places of a fragment by a join. Where they meet
 a suffix array of the fragments, read as letters of BLOCK bytes counted from the k-gram, shows which share enough letters
-for a window, and a window is repeated if another there has the same bytes.
+for a window, and a window is repeated if another there has the same bytes: hashes only propose, here as for fragments.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_map, in_bit_map
+from .shared import bit_map, in_bit_map, kept
 from .suffix_array import common_prefixes, suffix_array
 from .text import U, flat, mix, pieces, prefix_hash, span_hash
 
-#: Bytes of the k-gram, bytes of a letter, bits of the map of repeated k-grams, fragments in a suffix array.
-GRAM, BLOCK, BITS, MANY = 64, 80, 1 << 26, 1500
+#: Bytes of the k-gram, bytes of a letter, fragments in a suffix array.
+GRAM, BLOCK, MANY = 64, 80, 1500
+#: Bits of the map of repeated k-grams for each of them, and at most (128 MB; beyond, more fragments travel for nothing).
+BITS_EACH, BITS_MOST = 16, 1 << 30
+COLLISION = "different fragments have the same 64-bit hash; nothing was removed"
 
 
 def fragments(data: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -84,9 +87,8 @@ def repeated_windows(keys: np.ndarray, parts: list[bytes], places: np.ndarray, t
     own = np.repeat(owner[seeds], BLOCK)
     right = (start >= base[own]) & (start + length <= base[own] + size[own])
     start, own = start[right], own[right]
-    _, kind, count = np.unique(span_hash(sums, start, start + length), return_inverse=True, return_counts=True)
     hit = np.zeros(len(data) + 1, bool)
-    hit[start[count[kind] > 1]] = True
+    hit[equal_windows(data, np.unique(start), sums, length)] = True
     out = []
     for i in range(len(parts)):
         windows = int(size[i]) - length + 1
@@ -98,6 +100,32 @@ def repeated_windows(keys: np.ndarray, parts: list[bytes], places: np.ndarray, t
     return out
 
 
+def equal_windows(data: np.ndarray, start: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
+    """Those of the windows, by ascending start, that have the same bytes as another of them. Hashes propose, bytes decide."""
+    _, first, kind, count = np.unique(span_hash(sums, start, start + length), return_index=True, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[kind] > 1)
+    if not len(some):
+        return start[:0]
+    at, mate = start[some], start[first[kind[some]]]
+    # runs of windows whose mates run along are compared as one string each
+    new = np.ones(len(some), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(mate) != 1)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(some))) + length - 1
+    begin = np.cumsum(size) - size
+    inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+    other = data[np.repeat(at[head], size) + inside] != data[np.repeat(mate[head], size) + inside]
+    if not other.any():
+        return at
+    wrong = np.concatenate([[0], np.cumsum(other)])
+    place = begin[np.cumsum(new) - 1] + at - at[head][np.cumsum(new) - 1]
+    odd = np.isin(kind[some], kind[some][wrong[place + length] > wrong[place]])  # of equal hashes, not all equal
+    seen: dict[bytes, list[int]] = {}
+    for s in at[odd].tolist():
+        seen.setdefault(data[s : s + length].tobytes(), []).append(s)
+    return np.concatenate([at[~odd], np.array([s for own in seen.values() if len(own) > 1 for s in own], np.int64)])
+
+
 def _content(df: DataFrame, key: str, text: str) -> DataFrame:
     given = F.coalesce(df[text], F.lit(""))
     return df.select(df[key].alias("key"), F.xxhash64(given).alias("content"), given.alias("text"))
@@ -128,25 +156,32 @@ def covered(df: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"k": pa.array(key), "n": pa.array(n)})
 
     grams = df.select("content", "text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    packed = np.frombuffer(bit_map(grams.where("n > 1"), "k", BITS), np.int64)  # of fixed size
-    shared = df.sparkSession.sparkContext.broadcast(packed)
+    twice = kept(grams.where("n > 1").select("k"), "grams")
+    bits = min(BITS_MOST, 1 << max(20, (BITS_EACH * twice.count()).bit_length()))
+    shared = df.sparkSession.sparkContext.broadcast(np.frombuffer(bit_map(twice, "k", bits), np.int64))  # BITS_MOST at most
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes, dict[str, np.ndarray]]]:
         for content, data, f in _scan(batches, length):
-            stays = in_bit_map(shared.value, f["key"].astype(np.int64), BITS)
+            stays = in_bit_map(shared.value, f["key"].astype(np.int64), bits)
             begins = np.searchsorted(f["row"], f["row"])  # a row's first fragment starts at the row's first byte
             f["at"] = f["low"] - f["low"][begins]
             yield content, data.tobytes(), {k: x[stays] for k, x in f.items()}
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, int] = {}
+        known: dict[int, bytes] = {}
+        told: set[int] = set()
         for _, full, f in places(batches):
             own, texts = [], []
             for i, (a, b, h) in enumerate(zip(f["low"].tolist(), f["high"].tolist(), f["hash"].tolist(), strict=True)):
-                times = known[h] = known.get(h, 0) + 1
-                if times <= 2:  # a task tells of a fragment once, and once more if it meets it again
+                part = full[a : b + length]
+                first = known.setdefault(h, part)
+                if first != part:
+                    raise ValueError(COLLISION)
+                if first is part or h not in told:  # a task tells of a fragment once, and once more if it meets it again
                     own.append(i)
-                    texts.append(full[a : b + length] if times == 1 else None)
+                    texts.append(part if first is part else None)
+                    if first is not part:
+                        told.add(h)
             yield pa.RecordBatch.from_pydict({"k": pa.array(f["key"][own].astype(np.int64)), "h": pa.array(f["hash"][own].astype(np.int64)), "place": pa.array((f["place"] - f["low"])[own].astype(np.int32)), "part": pa.array(texts, pa.binary())})
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +201,8 @@ def covered(df: DataFrame, length: int) -> DataFrame:
             times = np.bincount(which)
             bytes_: list = [None] * len(first)
             for w, part in zip(which.tolist(), table.column("part").to_pylist(), strict=True):
+                if part and bytes_[w] and bytes_[w] != part:
+                    raise ValueError(COLLISION)
                 bytes_[w] = bytes_[w] or part
             groups = np.cumsum(np.concatenate([[True], k[first][1:] != k[first][:-1]])) - 1
             alone = (np.bincount(groups)[groups] == 1) & (times == 1)  # the map said yes for nothing

@@ -199,6 +199,15 @@ def test_repeats(spark, empty):
     assert repeats.remove_repeats(empty, "doc_id", "text").count() == 0
 
 
+def test_equal_windows_compares_bytes(monkeypatch):
+    data = np.frombuffer(b"abcdXabcdYbcde" + b"z" * 9, np.uint8)
+    want = [p for p in range(20) if any(q != p and data[p : p + 3].tobytes() == data[q : q + 3].tobytes() for q in range(20))]
+    for many in (1 << 60, 3, 1):  # the fewer hashes there are, the more collide
+        monkeypatch.setattr(repeats, "span_hash", lambda s, a, b, many=many: T.span_hash(s, a, b) % np.uint64(many))
+        got = repeats.equal_windows(data, np.arange(20), T.prefix_hash(data), 3)
+        assert sorted(got.tolist()) == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
