@@ -1,9 +1,12 @@
-"""Personal data: base patterns, and a bootstrapped search for identifiers in contexts that base matches share.
-
-The base finds e-mail and IP addresses, card and phone numbers. These seeds induce lexical patterns, the two words before
-them. All tokens with digits or an @ are instances; patterns and instances make a graph. Spark scores it in rounds: a
-pattern by the share of its instances that are trusted, an instance by its best pattern. Instances of patterns with a
-high score that no base pattern has found are added as kind "id".
+"""Personal data: base patterns, and a bootstrapped search for identifiers in contexts that known ones share.
+
+The base finds e-mail and IP addresses, card and phone numbers. They are seeds, and so are dense tokens: long ones of letters
+and digits without a word in them, as keys and digests are. Seeds induce lexical patterns: the two words or = or : signs
+before an instance, the two words after it, the word on either side, and the four letters it begins with. All tokens with
+digits or an @ are instances; patterns and instances make a graph. Spark scores it in rounds, until no pattern is gained: a
+pattern by the lower confidence bound of the share of its distinct instances that are trusted, an instance by its best
+pattern. Instances of patterns with a high score that no base pattern has found are added as kind "id". A dense token is
+added for its patterns alone, as any other.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import dropped, kept
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, from the operator's contract. A number cannot match from its second digit if it doesn't from its
@@ -26,9 +29,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_MARKED = re.compile(r"[0-9@]\S*")
-_EDGE = ".,;:!?\"'()[]{}<>|="
-SPACES = frozenset(" \t\n\r\x0b\x0c")
+_MARKED = re.compile(r"[0-9@]")
+_SIGNS = "\"'`=:,;()<>[]{}|!?#$%&*+~^\\"
+_CUT = frozenset(_SIGNS + " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000")
+_RUN = re.compile("[^" + re.escape("".join(sorted(_CUT))) + "]*")
+_NEAR = re.compile(r"\w+|[=:]")
+#: Code points on either side of an instance that its context may come from.
+NEAR = 80
 
 
 def luhn(digits: str) -> bool:
@@ -67,32 +74,47 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def instances(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of white-space separated tokens with a digit or @, without signs at the edges."""
-    for m in _MARKED.finditer(text):
-        start, end = m.span()
-        if start and text[start - 1] not in SPACES and _MARKED.match(text, start - 1):
-            continue
-        while start and not text[start - 1].isspace():
+    """Spans of all runs without spaces and signs that hold a digit or @; dots, slashes and hyphens at the ends don't count."""
+    m = _MARKED.search(text)
+    after = 0
+    while m:
+        start, end = m.start(), _RUN.match(text, m.start()).end()
+        while start > after and text[start - 1] not in _CUT:
             start -= 1
         token = text[start:end]
-        start += len(token) - len(token.lstrip(_EDGE))
-        end -= len(token) - len(token.rstrip(_EDGE))
-        if end - start >= 6:
-            yield start, end
-
-
-def context(text: str, start: int) -> str:
-    """The two words before a place, lower-cased, without signs at their edges; empty if there are fewer."""
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
-    return " ".join(w.strip(_EDGE) or w for w in before) if len(before) == 2 else ""
+        yield start + len(token) - len(token.lstrip("./-")), end - len(token) + len(token.rstrip("./-"))
+        after = end
+        m = _MARKED.search(text, end)
+
+
+def dense(token: str) -> bool:
+    """Whether a token is too long and mixed to be a word: 16 letters and digits at least, two of either, nothing else."""
+    return len(token) >= 16 and token.isascii() and token.isalnum() and 2 <= sum(map(str.isdigit, token)) <= len(token) - 2
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns of an instance. Words are lower-cased; NEAR code points on either side are looked at, and what comes
+    after only up to the end of the line."""
+    left = _NEAR.findall(text[max(0, start - NEAR) : start].lower())[-2:]
+    right = _NEAR.findall(text[end : end + NEAR].split("\n", 1)[0].lower())[:2]
+    out = []
+    if len(left) == 2:
+        out.append(f"before {left[0]} {left[1]}")
+    if len(right) == 2:
+        out.append(f"after {right[0]} {right[1]}")
+    if left and right:
+        out.append(f"between {left[-1]} {right[0]}")
+    if end - start >= 12 and text[start : start + 4].isalpha() and "@" not in text[start:end]:
+        out.append(f"begins {text[start : start + 4]}")
+    return out
 
 
 def _found(df: DataFrame, key: str, text: str) -> DataFrame:
-    """For each row its base spans, and its instances with pattern, name and whether they are seeds."""
+    """For each row its base spans, and its instances with patterns, name and whether they are of the base and seeds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
-        kind = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
+        kind = pa.list_(pa.struct([("patterns", pa.list_(pa.int64())), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("seed", pa.bool_())]))
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base", "found")}
             for t in b.column("text").to_pylist():
@@ -102,51 +124,61 @@ def _found(df: DataFrame, key: str, text: str) -> DataFrame:
                     out[f"n_{k}"].append(len(spans[k]))
                 out["base"].append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]))
                 seeds = sorted(x for k in KINDS for x in spans[k])
-                own, i = [], 0
-                for s, e in [*seeds, *((s, e) for s, e in instances(t) if sum(map(str.isdigit, t[s:e])) >= 4)]:
-                    seed = i < len(seeds)
-                    i += 1
-                    if not seed and any(a < e and s < z for a, z in seeds):
-                        continue
-                    near = context(t, s)
-                    if near:
-                        own.append({"pattern": h(near), "instance": h(t[s:e]), "start": s, "end": e, "seed": seed})
+                rest, at = [], 0
+                for x, y in instances(t):
+                    while at < len(seeds) and seeds[at][1] <= x:
+                        at += 1
+                    if at == len(seeds) or seeds[at][0] >= y:
+                        rest.append((x, y))
+                own = [{"patterns": [h(c) for c in contexts(t, x, y)], "instance": h(t[x:y]), "start": x, "end": y, "base": base, "seed": base or dense(t[x:y])} for base, found in ((True, seeds), (False, rest)) for x, y in found]
                 out["found"].append(own)
             arrays = [b.column("key"), b.column("content"), *(pa.array(v, kind if k == "found" else pa.string() if k == "base" else pa.int64()) for k, v in out.items())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "content", *out])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key].alias("key"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("content"), df[text].alias("text")).mapInArrow(rows, f"key {kind}, content long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern: long, instance: long, start: int, end: int, seed: boolean>>")
+    return df.select(df[key].alias("key"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("content"), df[text].alias("text")).mapInArrow(rows, f"key {kind}, content long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<patterns: array<long>, instance: long, start: int, end: int, base: boolean, seed: boolean>>")
 
 
-def patterns(edges: DataFrame, rounds: int = 3, sure: float = 0.8, support: float = 3.0) -> DataFrame:
+def patterns(edges: DataFrame, sure: float = 0.8, z: float = 1.64) -> DataFrame:
     """Patterns (pattern, score) whose score is at least `sure`, from edges (pattern, instance, seed).
 
-    A pattern's score is the sum of its distinct instances' scores over their number plus one, and 0 if that sum is under
-    `support`. Seeds score 1, other instances the best score, of at least `sure`, of their patterns.
+    A pattern's score is the lower bound, at z standard errors, of the share of its distinct instances that is trusted
+    (Wilson's interval): the more instances, the nearer to the share. Seeds count 1; another instance counts its best
+    pattern's score if that is at least `sure`. Scores only rise, so rounds end when no pattern is gained. An empty table
+    gives an empty result; null patterns and instances are left out.
     """
-    edges = kept(edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-edges")
-    sum_, n = F.sum("score"), F.count("*")
-    scored = lambda e: e.groupBy("pattern").agg(F.when(sum_ >= support, sum_ / (n + 1)).otherwise(0.0).alias("p")).where(F.col("p") >= sure)
+    edges = edges.where("pattern is not null and instance is not null")
+    edges = kept(edges.groupBy("pattern", "instance").agg(F.max(F.coalesce(F.col("seed").cast("double"), F.lit(0.0))).alias("score")), "pii-edges")
+    n, share = F.col("n"), F.col("trusted") / F.col("n")
+    bound = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    def scored(e: DataFrame) -> DataFrame:
+        sums = e.groupBy("pattern").agg(F.sum("score").alias("trusted"), F.count("*").alias("n"))
+        return sums.select("pattern", bound.alias("p")).where(F.col("p") >= sure)
+
     out = kept(scored(edges), "pii-patterns")
-    for _ in range(rounds - 1):
+    many, before = out.count(), -1
+    while many > before:
         gained = edges.join(out, "pattern").groupBy("instance").agg(F.max("p").alias("gain"))
         now = edges.join(gained, "instance", "left").select("pattern", "instance", F.greatest("score", F.coalesce("gain", F.lit(0.0))).alias("score"))
-        out = kept(scored(now), "pii-patterns")
+        last, out = out, kept(scored(now), "pii-patterns")
+        dropped(last)
+        many, before = out.count(), many
+    dropped(edges)
     return out.select("pattern", F.col("p").alias("score"))
 
 
-def extract(df: DataFrame, key: str, text: str, rounds: int = 3, sure: float = 0.8, support: float = 3.0) -> DataFrame:
+def extract(df: DataFrame, key: str, text: str, sure: float = 0.8, z: float = 1.64) -> DataFrame:
     """(key, content, n_email, n_ip, n_card, n_phone, base, spans, n_added) for every row.
 
-    content is a hash of the text. base and spans list kind:start:end, by kind and start, in code points; spans also has the added ones, kind "id",
-    last. Null texts count as empty and have none. Repeated rows and null keys stay as they are, other columns are
-    ignored, an empty table gives an empty result.
+    content is a hash of the text. base and spans list kind:start:end, by kind and start, in code points; spans also has
+    the added ones, kind "id", last. Null texts count as empty and have none. Repeated rows and null keys stay as they are,
+    other columns are ignored, an empty table gives an empty result.
     """
     found = kept(_found(df, key, text), "pii")
-    each = found.select("key", "content", F.explode("found").alias("f")).select("key", "content", "f.*")
-    good = patterns(each.select("pattern", "instance", "seed"), rounds, sure, support)
-    fresh = each.where("not seed").join(good, "pattern").groupBy("key", "content").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    each = found.select("key", "content", F.explode("found").alias("f")).select("key", "content", "f.*").withColumn("pattern", F.explode("patterns"))
+    good = patterns(each.select("pattern", "instance", "seed"), sure, z)
+    fresh = each.where("not base").join(good, "pattern").groupBy("key", "content").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     fresh = fresh.select(F.col("key").alias("k"), F.col("content").alias("c"), "more")
     out = found.join(fresh, found["key"].eqNullSafe(fresh["k"]) & (found["content"] == fresh["c"]), "left")
     added = F.transform("more", lambda x: F.concat(F.lit("id:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
@@ -168,7 +200,8 @@ def redact(text: str, spans: str) -> str:
 
 
 def redacted(df: DataFrame, key: str, text: str, **options: float) -> DataFrame:
-    """df with the personal data in its text column replaced by <KIND>; all rows and columns stay, null stays null."""
+    """df with the personal data in its text column replaced by <KIND>; all rows, repeated ones too, and columns stay, null
+    stays null, empty stays empty; an empty table gives an empty table."""
     found = extract(df, key, text, **options).where("spans <> ''").select("key", "content", "spans").distinct()
     found = found.select(F.col("key").alias("__k"), F.col("content").alias("__c"), F.col("spans").alias("__spans"))
     content = F.xxhash64(F.coalesce(df[text], F.lit("")))

@@ -43,7 +43,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.extract(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+    return out.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_added")).alias("n_spans"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

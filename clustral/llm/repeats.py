@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_map, in_bit_map, kept
+from .shared import bit_map, dropped, in_bit_map, kept
 from .suffix_array import common_prefixes, suffix_array
 from .text import U, flat, mix, pieces, prefix_hash, span_hash
 
@@ -159,6 +159,7 @@ def covered(df: DataFrame, length: int) -> DataFrame:
     twice = kept(grams.where("n > 1").select("k"), "grams")
     bits = min(BITS_MOST, 1 << max(20, (BITS_EACH * twice.count()).bit_length()))
     shared = df.sparkSession.sparkContext.broadcast(np.frombuffer(bit_map(twice, "k", bits), np.int64))  # BITS_MOST at most
+    dropped(twice)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes, dict[str, np.ndarray]]]:
         for content, data, f in _scan(batches, length):

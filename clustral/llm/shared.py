@@ -8,14 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder, as in tests on one machine.
+#: Used where the session names no shared folder and driver and executors are one process, as in tests.
 OWN_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); set on the session where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a local run gets a folder of its own;
+    a cluster has none that could be guessed, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = OWN_FOLDER
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -26,7 +29,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes what kept wrote; for tables that nothing returned to the caller reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:
@@ -77,6 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before, said = None, digest(now)
     while said != before and said[0]:
-        now = kept(star(star(now, True), False), "edges")
+        last, now = now, kept(star(star(now, True), False), "edges")
+        dropped(last)
         before, said = said, digest(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -220,24 +220,95 @@ def test_base_patterns(text):
     assert spans["ip"] == [m.span() for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
 
 
-def test_pii_bootstraps(spark, empty):
-    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "6011111111111117"]
-    rows = [(i, f"pay with account number {c} now") for i, c in enumerate(cards)]
-    rows += [(10, "pay with Account number: AB-99887766 now"), (11, None), (12, ""), (13, "nothing 123456 here"), (14, "é a@b.co, +358 40 123 4567; 10.0.0.1"), (10, "pay with Account number: AB-99887766 now")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, content string")
+def wilson(trusted, n, z=1.64):
+    p = trusted / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_pii_finds_unseen_identifiers(spark, empty):
+    """With production parameters: identifiers of a form that no seed has, and none in clean texts."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, prose(rng.randint(3, 30), rng) + f' secret = "{key()}1a" ' + prose(rng.randint(3, 30), rng)) for i in range(80)]
+    unseen = ["hunter2", "x9-pw", "Tr0ub4dor&3"[:9], "correct.horse1", "p4ss"]
+    planted = {100 + i: f"{prose(5, rng)} secret={u} {prose(6, rng)}" for i, u in enumerate(unseen)}
+    clean = {200 + i: f"{prose(4, rng)} version {i}.{rng.randint(0, 9)} and room {rng.randint(1, 400)} {prose(5, rng)}" for i in range(60)}
+    clean |= {300: None, 301: "", 302: "é a@b.co, +358 40 123 4567; 10.0.0.1", 303: "no data"}
+    rows += [*planted.items(), *clean.items(), (100, planted[100])]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, content string, pattern int").repartition(3)
     got = collections.defaultdict(list)
-    for r in pii.extract(df, "doc_id", "text", sure=0.6).collect():
+    for r in pii.extract(df, "doc_id", "text").collect():
         got[r["key"]].append(r)
-    assert len(got[10]) == 2 and got[10][0]["spans"] == "id:25:36" and got[13][0]["spans"] == "" and got[11][0]["base"] == ""
-    assert got[14][0]["base"] == "email:2:8,ip:28:36,phone:10:26" and got[0][0]["spans"] == "card:24:40"
-    out = {r["doc_id"]: r["text"] for r in pii.redacted(df, "doc_id", "text", sure=0.6).collect()}
-    assert out[10] == "pay with Account number: <ID> now" and out[11] is None and out[14] == "é <EMAIL>, <PHONE>; <IP>"
+    assert len(got[100]) == 2 and sum(map(len, got.values())) == len(rows)
+    for i, u in enumerate(unseen):
+        at = planted[100 + i].index(u)
+        assert got[100 + i][0]["spans"] == f"id:{at}:{at + len(u)}", u
+    assert all(got[i][0]["n_added"] == 1 for i in range(80)) and all(r["n_added"] == 0 for i in clean for r in got[i])
+    assert got[302][0]["base"] == got[302][0]["spans"] == "email:2:8,ip:28:36,phone:10:26"
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(df, "doc_id", "text").collect()}
+    assert out[100] == planted[100].replace("hunter2", "<ID>") and out[300] is None and out[302] == "é <EMAIL>, <PHONE>; <IP>"
     assert pii.redact("abc", "id:0:2,card:1:3") == "<ID>"
-    assert pii.extract(empty, "doc_id", "text").count() == 0
+    assert pii.extract(empty, "doc_id", "text").count() == 0 and pii.redacted(empty, "doc_id", "text").count() == 0
+
+
+def test_pattern_scores_by_brute_force(spark):
+    rng = random.Random(4)
+    edges = {(rng.randint(0, 25), rng.randint(0, 90)) for _ in range(700)}
+    edges |= {(100, i) for i in range(1000, 1020)} | {(101, i) for i in range(1018, 1032)} | {(102, i) for i in range(1031, 1060)}
+    seeds = {i for i in range(91) if rng.random() < 0.93} | set(range(1000, 1018)) | set(range(1020, 1031)) | set(range(1033, 1060))
+    score = {i: float(i in seeds) for _, i in edges}
+    good, rounds = {}, 0
+    while True:
+        by = collections.defaultdict(list)
+        for p, i in edges:
+            by[p].append(score[i])
+        now = {p: w for p, v in by.items() if (w := wilson(sum(v), len(v))) >= 0.8}
+        for p, i in edges:
+            score[i] = max(score[i], now.get(p, 0.0))
+        rounds += 1
+        if len(now) == len(good):
+            break
+        good = now
+    df = spark.createDataFrame([(p, i, i in seeds) for p, i in edges] + [(None, 3, True), (3, None, True)], "pattern long, instance long, seed boolean")
+    got = {r["pattern"]: r["score"] for r in pii.patterns(df).collect()}
+    assert rounds > 2 and got.keys() == now.keys() and 0 < len(got) < len({p for p, _ in edges})
+    assert pii.patterns(df.where("false")).count() == 0
+
+
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="0123456789 -+().x", max_size=60))
+def test_cards_and_phones(text):
+    def checks(digits):
+        total = 0
+        for k, d in enumerate(reversed(digits)):
+            d = int(d) * (1 + k % 2)
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    digits = lambda t: re.sub(r"[^0-9]", "", t)
+    spans = pii.base_spans(text)
+    assert spans["card"] == [m.span() for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and checks(digits(m[0]))]
+    assert spans["phone"] == [m.span() for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.1 =-/é\"\n", max_size=40))
+def test_instances_by_brute_force(text):
+    want = []
+    for m in re.finditer(r"[^\s\"=]+", text):
+        if re.search("[0-9@]", m[0]):
+            a, b = m.span()
+            want.append((a + len(m[0]) - len(m[0].lstrip("./-")), b - len(m[0]) + len(m[0].rstrip("./-"))))
+    assert list(pii.instances(text)) == want
 
 
 def test_long_runs_stay_linear():
-    assert pii.emails("a" * 200_000) == [] and pii.base_spans("1" * 200_000)["ip"] == []
+    for long in ("a", "1", "1.", "+1", "1 ", "a@", "a1", "-"):
+        text = long * 200_000
+        assert pii.emails(text) == [] and pii.base_spans(text)["ip"] == [] and len(list(pii.instances(text))) <= 200_000
 
 
 def test_shards(spark, table, empty):
