@@ -66,12 +66,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> toxicity.Model:
-    """Fitted on the first `rows` labelled rows by a hash of doc_id, of those that training may use."""
-    labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fitted on the first `rows` labelled doc_ids by a hash, of those that training may use. A doc_id with several labels
+    is toxic if one says so; of several texts the one with the smallest hash is used. Null doc_ids and labels are left out.
+    """
+    labels = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     may = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     few = F.broadcast(toxicity.sample(may, "doc_id", rows))  # at most `rows` rows
-    own = docs.select(F.col("doc_id").alias("id"), "text")
-    return toxicity.fit(own.join(few, own["id"] == few["doc_id"]), "text", "toxic")
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.join(few, own["id"] == few["doc_id"]).groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return toxicity.fit(own, "text", "toxic")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ A logistic regression on the features times their ratios gives the score. Only t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import dropped, kept
 from .text import _LOWER, flat, pieces
 
 #: Texts whose features are marked at once.
@@ -71,8 +72,15 @@ def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: i
         yield i, j, hit >> bits, hit & ((1 << bits) - 1)
 
 
-def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7), bits: int = 18, penalty: float = 3.0, steps: int = 120) -> Model:
-    """Fits the model on rows, whose number the caller bounds. Rows with a null label are left out, null texts are empty.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7), bits: int = 18, penalty: float = 3.0, steps: int = 40, tasks: int = 12) -> Model:
+    """Fits the model on rows, whose number the caller bounds. Rows with a null label are left out, null texts are empty,
+    repeated rows count as often as they are there, other columns are ignored.
+
+    Features are written to the shared folder once. Each step is a pass of the executors over them, whose sums have the
+    size of the model: `tasks` of them reach the driver, whatever the rows' number and their texts' length.
 
     Without any positive or any negative row the score is the smoothed share of positives for every text.
     """
@@ -98,49 +106,103 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7)
             yield grouped(held)
 
     given = rows.select(rows[text].alias("text"), rows[label].cast("int").alias("label")).where("label is not null")
-    # of a bounded number of rows; dealt to few tasks, so that groups are full
-    got = given.repartition(12).mapInArrow(extract, "labels binary, sizes binary, rows binary").toArrow()
-    view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-    columns = [got.column(c) for c in got.column_names]
-    blocks = [(view(y, "<i4").astype(float), view(s, "<u2"), view(r, np.uint8)) for y, s, r in zip(*columns, strict=True)]
-    return fit_blocks(blocks, orders, bits, penalty, steps)
-
-
-def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
-    """fit for groups of at most GROUP rows at hand: their labels, how many of them each bucket is in, and which, bucket by
-    bucket. A pass then stays within tables of a group's size."""
-    width, rows, positive = 1 << bits, sum(len(y) for y, _, _ in blocks), float(sum(y.sum() for y, _, _ in blocks))
+    # a bounded number of rows, dealt to few tasks, so that groups are full
+    blocks = kept(given.repartition(tasks).mapInArrow(extract, "labels binary, sizes binary, rows binary"), "features")
+    spark = rows.sparkSession
+
+    def total(f: Callable[[np.ndarray, Block], np.ndarray], at: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(at)  # of the model's size
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for b in batches:
+                for y, s, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own = f(shared.value, (np.frombuffer(y, "<i4").astype(float), np.frombuffer(s, "<u2"), np.frombuffer(r, np.uint8)))
+                    out = own if out is None else out + own
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+        sums = blocks.coalesce(tasks).mapInArrow(partial, "sums binary").collect()  # `tasks` rows at most
+        shared.destroy()
+        return np.sum([np.frombuffer(r["sums"]) for r in sums], axis=0) if sums else np.zeros(0)
+
+    out = solve(total, orders, bits, penalty, steps)
+    dropped(blocks)
+    return out
+
+
+def _add(into: np.ndarray, values: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
+    """Adds to each bucket the values of its rows."""
+    some = np.flatnonzero(size)
+    if len(some):
+        into[some] += np.add.reduceat(values[row], (np.cumsum(size, dtype=np.int64) - size)[some])
+
+
+def solve(total: Callable, orders: tuple[int, ...], bits: int, penalty: float, steps: int) -> Model:
+    """fit, where total(f, x) sums f(x, block) over the blocks: groups of at most GROUP rows, given by their labels, how
+    many of them each bucket is in, and which, bucket by bucket. Limited-memory BFGS, `steps` passes at most."""
+    width = 1 << bits
+
+    def counts(_: np.ndarray, block: Block) -> np.ndarray:
+        own, size, row = block
+        out = np.zeros(2 * width + 2)
+        _add(out[:width], own, size, row)
+        _add(out[width : 2 * width], 1 - own, size, row)
+        out[-2:] = len(own), own.sum()
+        return out
+
+    found = total(counts, np.zeros(0))
+    rows, positive = (float(found[-2]), float(found[-1])) if len(found) else (0.0, 0.0)
     prior = (positive + 1) / (rows + 2)
     bias = float(np.log(prior / (1 - prior)))
     if not 0 < positive < rows:
         return Model(np.zeros(width), bias, orders)
-
-    def add(into: np.ndarray, values: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
-        """Adds to each bucket the values of its rows."""
-        some = np.flatnonzero(size)
-        if len(some):
-            into[some] += np.add.reduceat(values[row], (np.cumsum(size, dtype=np.int64) - size)[some])
-
-    p, q = np.ones(width), np.ones(width)
-    for own, size, row in blocks:
-        add(p, own, size, row)
-        add(q, 1 - own, size, row)
+    p, q = found[:width] + 1, found[width : 2 * width] + 1
     ratio = np.log(p / (positive + 2)) - np.log(q / (rows - positive + 2))
     ratio[(p + q) < 5] = 0
-    w, m, v = np.zeros(width), np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        scaled, g, slope = w * ratio, np.zeros(width), 0.0
-        for own, size, row in blocks:
-            at = row.astype(np.intp)
-            z = bias + np.bincount(at, np.repeat(scaled, size), len(own))
-            miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - own
-            add(g, miss, size, at)
-            slope += float(miss.sum())
-        g = np.append(g * ratio + penalty * w, slope)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.02 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(w * ratio, bias, orders)
+
+    def slopes(x: np.ndarray, block: Block) -> np.ndarray:
+        """By bucket, for the bias, and the loss."""
+        own, size, row = block
+        at, out = row.astype(np.intp), np.zeros(width + 2)
+        z = np.clip(x[-1] + np.bincount(at, np.repeat(x[:-1], size), len(own)), -500, 500)
+        miss = 1 / (1 + np.exp(-z)) - own
+        _add(out[:width], miss, size, at)
+        out[-2:] = miss.sum(), (np.logaddexp(0, z) - own * z).sum()
+        return out
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        s = total(slopes, np.append(x[:-1] * ratio, x[-1]))
+        return float(s[-1]) + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(s[:width] * ratio + penalty * x[:-1], s[-2])
+
+    x = np.append(np.zeros(width), bias)
+    value, g = loss(x)
+    passes, past = 1, []
+    while passes < steps:
+        d, turned = -g, []
+        for s, y, r in reversed(past):
+            turned.append(r * (s @ d))
+            d = d - turned[-1] * y
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(g).sum())))
+        for (s, y, r), t in zip(past, reversed(turned), strict=True):
+            d = d + (t - r * (y @ d)) * s
+        step, fall = 1.0, float(g @ d)
+        while passes < steps:
+            new, h = loss(x + step * d)
+            passes += 1
+            if new <= value + 1e-4 * step * fall:
+                break
+            step /= 4
+        else:
+            break
+        s, y = step * d, h - g
+        if s @ y > 1e-10:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        x, g, done = x + s, h, value - new < 1e-4 * max(1.0, abs(value))
+        value = new
+        if done:
+            break
+    return Model(x[:-1] * ratio, float(x[-1]), orders)
 
 
 def score(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:

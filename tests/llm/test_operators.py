@@ -410,6 +410,54 @@ def test_toxicity(spark, table, empty):
     assert toxicity.keep_below(fresh, "text", model, 0.3).count() == 3
 
 
+def test_toxicity_fit_is_the_optimum():
+    """The penalised loss, written out for a dense matrix, has no slope at what solve finds."""
+    rng = np.random.default_rng(3)
+    hit = rng.random((300, 32)) < 0.3
+    label = (hit[:, 3] | (hit[:, 7] & (rng.random(300) < 0.7))).astype(float)
+    blocks = []
+    for i in range(0, 300, 100):
+        buckets, rows = np.nonzero(hit[i : i + 100].T)
+        blocks.append((label[i : i + 100], np.bincount(buckets, minlength=32).astype("<u2"), rows.astype(np.uint8)))
+    model = toxicity.solve(lambda f, x: sum(f(x, b) for b in blocks), (5,), 5, 3.0, 200)
+    p, q = hit[label == 1].sum(0) + 1, hit[label == 0].sum(0) + 1
+    ratio = np.log(p / (label.sum() + 2)) - np.log(q / ((1 - label).sum() + 2))
+    x = hit * ratio
+    w = model.weights / ratio
+    miss = 1 / (1 + np.exp(-(x @ w + model.bias))) - label
+    assert np.abs(x.T @ miss + 3.0 * w).max() < 0.5 and abs(miss.sum()) < 0.5 and np.abs(x.T @ (0.5 - label)).max() > 20
+    assert np.allclose(model.score(*np.nonzero(hit), 300), 1 / (1 + np.exp(-(x @ w + model.bias))))
+
+
+def test_toxicity_never_learns_from_held_out_rows(spark):
+    from clustral.llm import queries
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng.randint(5, 40), rng) + (" grumblewort" if i % 4 == 0 else ""), i % 4 == 0) for i in range(200)]
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    docs = spark.createDataFrame([(i, t, "toxic", 9) for i, t, _ in rows] + [(None, "x", "", 0), (7, rows[7][1], "", 1)], "doc_id long, text string, lang string, label int")
+    frame = lambda pairs: spark.createDataFrame([(*p, 5) for p in pairs], "doc_id long, toxic int, label int")
+    honest = frame([(i, int(y)) for i, _, y in rows] + [(None, 1), (3, None)])
+    lying = frame([(i, int(y != (i in held))) for i, _, y in rows] + [(4, 1)])
+    a, b = queries.toxicity_model(spark, docs, honest), queries.toxicity_model(spark, docs, lying)
+    assert held and np.allclose(a.weights, b.weights, atol=1e-6) and abs(a.bias - b.bias) < 1e-6 and a.weights.any()
+    scores = {r["key"]: r["score"] for r in toxicity.score(docs, "doc_id", "text", a).collect()}
+    assert all((scores[i] >= 0.3) == y for i, _, y in rows)
+    few = queries.toxicity_model(spark, docs, honest, rows=30)
+    assert not np.allclose(few.weights, a.weights)
+
+
+def test_toxic_words_count_anywhere(spark):
+    """One-word texts, the first word, words without spaces around them."""
+    rng = random.Random(2)
+    bad = (" grumblewort", "-grumblewort", "罵倒する言葉だ", "彼は罵倒する言葉だと")
+    rows = [(prose(rng.randint(0, 30), rng) + (bad[i // 2 % 4] if i % 2 else ""), i % 2) for i in range(800)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), "text", "label")
+    texts = ["grumblewort", "Grumblewort " + prose(5), "a-grumblewort/b", "彼は罵倒する言葉だと言う", prose(6), "日本語の文"]
+    s = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", model).orderBy("key").collect()]
+    assert min(s[:4]) > 0.3 > max(s[4:])
+
+
 def test_shingles_by_brute_force():
     rows = [t for _, t in docs()]
     data, off = T.flat(pa.array(rows, pa.string()))
