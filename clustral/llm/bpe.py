@@ -43,14 +43,14 @@ def splitter(pattern: str):
 
 
 def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str, batch: int = dictionary.BATCH) -> DataFrame:
-    """(key long, ids array<int>) for each row of df; ids are those of encoding each match of the pattern separately.
+    """(key, ids array<int>) for each row of df; ids are those of encoding each match of the pattern separately.
 
     Null and empty texts have no ids. Repeated rows and null keys stay as they are, other columns are ignored, an empty
     table gives an empty result. A very long text is a batch of its own.
     """
     import tiktoken  # on the driver and on executors
 
-    rows = dictionary.stable(df.select(df[key].cast("long").alias("key"), df[text].alias("text")))
+    rows = dictionary.stable(df.select(df[key].alias("key"), df[text].alias("text")))
     split = splitter(pattern)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary's size bounds it
 
@@ -69,7 +69,7 @@ def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern:
             out["ids"].append(dictionary.pack(np.fromiter((i for x in lists for i in x), np.int64)))
         return pa.table({"batch": table.column("batch"), "codes": table.column("codes"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
-    words = dictionary.batch_words(rows, split, limit=batch).select("bucket", "batch", "words", "codes")
+    words = dictionary.batch_words(rows, split, batch)
     coded = words.groupBy("bucket").applyInArrow(each_once, "batch long, codes binary, sizes binary, ids binary")
 
     def use(rows: list[dict], order: np.ndarray):
@@ -83,11 +83,12 @@ def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern:
             each = size[codes]
             ids = dictionary.ragged(flat, start[codes], each)
             at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
-            return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))})
+            return pa.table({"key": pa.array(keys, kind), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))})
 
         return texts
 
-    return dictionary.meet(dictionary.batch_texts(rows, split, batch), coded, use, "key long, ids array<int>")
+    kind, name = dictionary._keys(rows)
+    return dictionary.meet(dictionary.batch_texts(rows, split, batch), coded, use, f"key {name}, ids array<int>")
 
 
 def _decoder(by_id: list[bytes]):
@@ -127,7 +128,11 @@ def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int]) -> DataFr
 
 
 def round_trip_digests(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each text, encoded, and decoded from its ids as decode does."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text, encoded, and decoded from its ids as decode does.
+
+    Null and empty texts have no tokens and the digests of nothing. Repeated rows and null keys stay as they are, other
+    columns are ignored, an empty table gives an empty result.
+    """
     shared = df.sparkSession.sparkContext.broadcast(_token_bytes(ranks))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +145,4 @@ def round_trip_digests(df: DataFrame, key: str, text: str, ranks: dict[bytes, in
             back = [hashlib.sha256(text(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(df, key, text, ranks, pattern).mapInArrow(digests, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(df, key, text, ranks, pattern).mapInArrow(digests, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

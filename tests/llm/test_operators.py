@@ -351,22 +351,82 @@ def test_class_model(spark, table, empty):
     assert class_model.score(empty, "doc_id", "text", learns).count() == 0
 
 
-def test_transitions_are_probabilities():
-    rng = np.random.default_rng(1)
-    n = class_model.END + 1
-    counts = np.zeros((n, n))
-    counts[:40, :40] = rng.integers(0, 9, (40, 40))
-    model = class_model._model(counts, np.zeros(class_model.TAILS, int), {}, 1, 1, 1)
-    assert (10**model.step).sum(1) == pytest.approx(1)
+def test_class_model_by_brute_force(spark):
+    """Every word twice in training or more has a class of the exchange, also beyond the leaders; the best by its contexts;
+    scores are those of a plain bigram model over these classes."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(1600)]
+    draw = lambda n: " ".join(vocabulary[min(1599, int(rng.expovariate(1 / 300)))] for _ in range(n))
+    rows = [(f"k{i}", draw(rng.randint(0, 120))) for i in range(300)] + [(None, "w1 w2 new"), ("k1", "once"), ("k1", "once")]
+    learns = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id string, text string, key string, batch int").repartition(3)
+    given = df.select(F.col("doc_id").alias("key"), "text")
+    batches = shared.kept(class_model.dictionary.whole_batches(given, class_model.split, learns, 4000), "test")
+    lead = class_model.leading_words(batches)
+    first, table = class_model.leader_classes(batches, lead)
+    words = {(r["batch"], i): w for r in batches.collect() for i, w in enumerate(class_model.unpack_words(bytes(r["words"])))}
+    of, count = {}, {}
+    for r in class_model.word_classes(batches, first, table).where("batch is not null").collect():
+        for i, n, c in zip(np.cumsum(class_model.unpack(bytes(r["codes"])).astype(int)).tolist(), class_model.unpack(bytes(r["counts"])).tolist(), zlib.decompress(bytes(r["classes"])), strict=True):
+            w = words[r["batch"], i]
+            assert of.setdefault(w, c) == c and count.setdefault(w, n) == n
+    train = [class_model.split(t) for k, t in rows if learns(k)]
+    true = collections.Counter(w for t in train for w in t)
+    assert all(count[w] == true[w] for w in count) and len(lead) == class_model.LEADERS and len(of) > 1300
+    start = {w: first.get(w, class_model.tail(w)) for w in of}
+    beside = collections.defaultdict(collections.Counter)
+    for t in train:
+        c = [class_model.END, *(start[w] for w in t), class_model.END]
+        for i, w in enumerate(t):
+            beside[w].update([(0, c[i]), (1, c[i + 2])])
+    log, size = np.log(table + 0.5), np.log(table.sum(0) + 1)
+    for w in of:
+        if w not in first:
+            gains = [sum(n * (log[d, c] if side == 0 else log[c, d]) for (side, d), n in beside[w].items()) - 2 * true[w] * size[c] for c in range(class_model.CLASSES)]
+            assert gains[of[w]] >= max(gains) - 1e-6 if true[w] >= 2 else of[w] == class_model.tail(w)
+        else:
+            assert of[w] == first[w]
+    seen = collections.Counter(p for t in train for c in [[class_model.END, *(of[w] for w in t), class_model.END]] for p in zip(c, c[1:], strict=False))
+    pairs = np.zeros((class_model.ALL,) * 2)
+    for p, n in seen.items():
+        pairs[p] = n
+    step = class_model.transitions(pairs)
+    assert (10**step).sum(1) == pytest.approx(1)
+    mass = collections.Counter()
+    for w, n in true.items():
+        mass[of[w]] += n + (of[w] >= class_model.CLASSES)
+    want = collections.defaultdict(list)
+    for k, t in rows:
+        w = class_model.split(t)
+        c = [class_model.END, *(of[x] for x in w), class_model.END]
+        emitted = sum(math.log10((true[x] + (of[x] >= class_model.CLASSES)) / (mass[of[x]] + (of[x] >= class_model.CLASSES))) for x in w)
+        want[k].append(round(emitted + sum(step[p] for p in zip(c, c[1:], strict=False)), 6))
+    got = collections.defaultdict(list)
+    for r in class_model.score(df, "doc_id", "text", learns, batch=4000).collect():
+        got[r["key"]].append(round(r["score"], 6))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_class_model_without_training_rows(table):
+    got = class_model.score(table, "doc_id", "text", lambda _: False).collect()
+    assert len(got) == len(docs()) and all(r["n_known"] == r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
 
 
 def test_exchange_finds_alternating_classes():
-    counts = np.zeros((class_model.END + 1,) * 2)
+    counts = np.zeros((53, 53))
     counts[:10, 10:20], counts[10:20, :10] = 5, 5
-    of = class_model.exchange(counts, classes=2)
+    of = class_model.exchange(counts, 20, classes=2)
     assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10]
 
 
+def test_batches_that_differ_are_an_error(spark):
+    rows = spark.createDataFrame([(i, prose(9)) for i in range(20)], "key long, text string")
+    texts = class_model.dictionary.batch_texts(rows.coalesce(1), str.split, 200)
+    words = class_model.dictionary.batch_words(rows.coalesce(1), str.split, 500)
+    with pytest.raises(Exception, match="same batches"):
+        class_model.dictionary.meet(texts, words, lambda rows, order: lambda k, s, c: pa.table({"n": [1]}), "n long").collect()
+
+
 def test_warc(spark, empty):
     long = "<p>" + "ü" * 9000 + "</p>"
     rows = [(5, "http://a/", long), (3, None, long), (9, "http://b c/\r\n", long), (1, "u", "x" * 99), (2, "u", "x" * 99), (4, "u", None), (6, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40), (3, "u", long)]
