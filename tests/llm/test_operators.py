@@ -131,6 +131,19 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("false"), "vec_id", "embedding", "true").count() == 0
 
 
+def test_neighbours_of_grown_leaves(spark):
+    """A tree of a small sample: leaves have grown and are split where they meet; groups are many; other columns clash."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 12)) + 3 * rng.normal(size=(40, 12))[rng.integers(0, 40, 4000)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], "x", 1, [1]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, leaf string, id int, v array<int>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, "vec_id", "embedding", "id % 50 = 0", k=20, sample=300, group=500, grown=60).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    recall = [len(set(np.argsort(-np.where(np.arange(4000) == q, -np.inf, x @ x[q]))[:20].tolist()) & set(got[q])) / 20 for q in range(0, 4000, 50)]
+    assert np.mean(recall) >= 0.9 and all(len(set(v)) == 20 for v in got.values())
+    assert neighbours.grouped({0: 3, 1: 5, 2: 25, 4: 1, 9: 2}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 4: (4, 1), 9: (4, 1)}
+
+
 def test_contained(spark, table, empty):
     texts = dict(docs())
     items = [(0, texts[14]), (1, "one two"), (2, None), (3, ""), (4, prose(30)), (5, " ".join(texts[20].split()[3:40]).upper())]
