@@ -81,6 +81,7 @@ def entropy(bits: Column, shares: Column) -> Column:
     return F.floor(_sum(each, "double") * SCALE + 0.5).cast("bigint")
 
 
+#: Metrics by name, and the metric of each error function.
 METRICS = {"mse": squared, "jaccard": jaccard, "dice": dice, "sc": entropy, "dbi": squared}
 
 
@@ -106,3 +107,61 @@ def log2_factorial(n: Column) -> Column:
     series = 1.0 / (12 * x) - 1.0 / (360 * F.pow(x, 3)) + 1.0 / (1260 * F.pow(x, 5)) - 1.0 / (1680 * F.pow(x, 7))
     between = sum((F.log(n.cast("double") + k) for k in range(2, 9)), F.log(n.cast("double") + 1.0))
     return ((x - 0.5) * F.log(x) - x + 0.5 * F.log(2 * F.pi()) + series - between) / F.log(F.lit(2.0))
+
+
+def metric(error: str):
+    """The distance of an error function: mse and dbi by squares, sc by entropy, jaccard, dice."""
+    if error not in METRICS:
+        raise ValueError(f"no error function {error!r}")
+    return METRICS[error]
+
+
+def partial_squared(a: Column, b: Column, limit: Column) -> Column:
+    """The squared distance, or null once it is over `limit`: what a search by partial distances may stop at."""
+    d2 = squared(a, b)
+    return F.when(d2 <= limit, d2)
+
+
+# vectors of doubles
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def scale(a: Column, by: Column) -> Column:
+    return F.transform(a, lambda x: x * by)
+
+
+def filled(size: int, value: float) -> Column:
+    return F.array_repeat(F.lit(float(value)), size)
+
+
+def length(a: Column) -> Column:
+    """Manhattan length."""
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of vectors of doubles."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def normalised(a: Column) -> Column:
+    """The vector over its Manhattan length; a zero vector stays."""
+    n = length(a)
+    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+
+
+def ordered(a: Column, descending: bool = False) -> Column:
+    return F.sort_array(a, not descending)
+
+
+def grouped_digits(n: Column) -> Column:
+    """An integer with a comma between thousands."""
+    return F.format_number(n, 0)
+
+
+def remainder(a: Column, b: Column) -> Column:
+    """a modulo b for doubles, from 0 up to b."""
+    return F.pmod(a, b)

@@ -72,41 +72,136 @@ def graph_density(edges: DataFrame, eps: float = 1e-20) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg((k / F.greatest(1.0 / (far + F.lit(eps)) + total, F.lit(eps))).alias("density"))
 
 
-def axis_density(points: DataFrame, window: int) -> DataFrame:
-    """id, density: for each dimension the `window` nearest in its order on either side, k over the sum of distances to
-    them, summed over dimensions. Equal coordinates are ordered by id. Dimensions are sorted one task each."""
+def _in_order(points: DataFrame, halo: int, schema: str, f) -> DataFrame:
+    """f(x, ids, i, j) over each dimension in order of (x, id), in ranges of that order with `halo` rows more on either side,
+    so that no task holds a dimension: i and j bound the range's own rows. A frame of (id, ...) comes back."""
     rows = points.select("id", F.posexplode("v").alias("dim", "x"))
+    size = points.count()
+    parts = max(1, min(1024, size // (8 * halo + 1000)))
+    edges = rows.groupBy("dim").agg(F.percentile_approx("x", [(i + 1) / parts for i in range(parts - 1)], 10_000).alias("edges")) if parts > 1 else rows.select("dim").distinct().withColumn("edges", F.array().cast("array<bigint>"))
+    keyed = rows.join(F.broadcast(edges), "dim").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
+    counts = keyed.groupBy("dim", "part").agg(F.count("*").alias("n"))  # 1024 rows a dimension at most
+    ends = {}
+    for r in counts.orderBy("dim", "part").collect():
+        ends.setdefault(r["dim"], []).append((r["part"], r["n"]))
+    spark, table = points.sparkSession, []
+    for dim, own in ends.items():
+        at = 0
+        for part, n in own:
+            table.append((dim, part, at, n))
+            at += n
+    starts = spark.createDataFrame(table, "dim int, part int, start long, n long")
+    rank = F.row_number().over(Window.partitionBy("dim", "part").orderBy("x", "id"))
+    ranked = keyed.withColumn("r", rank).join(F.broadcast(starts), ["dim", "part"]).select("dim", "id", "x", (F.col("start") + F.col("r") - 1).alias("rank"))
+    # ranges of ranks: each row goes to its own and to those whose halo it is in
+    wide = max(8 * halo + 1000, -(-size // 1024))
+    block = F.sequence(F.floor((F.greatest(F.col("rank") - halo, F.lit(0))) / wide), F.floor((F.col("rank") + halo) / wide))
+    met = ranked.withColumn("block", F.explode(block))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        rank = pdf["rank"].to_numpy()
+        i, j = np.searchsorted(rank, [key[1] * wide, (key[1] + 1) * wide])
+        return f(pdf["x"].to_numpy(), pdf["id"].to_numpy(), int(i), int(j)) if j > i else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return met.groupBy("dim", "block").applyInPandas(one, schema)
+
+
+def axis_density(points: DataFrame, window: int) -> DataFrame:
+    """id, density: for each dimension k over the sum of distances to the window // 2 rows on either side in its order,
+    summed over dimensions. Equal coordinates are ordered by id."""
     half = max(1, window // 2)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "id"])
-        x = pdf["x"].to_numpy(float)
-        n, cum = len(x), np.concatenate([[0.0], np.cumsum(pdf["x"].to_numpy(float))])
-        i = np.arange(n)
+    def one(x: np.ndarray, ids: np.ndarray, a: int, b: int) -> pd.DataFrame:
+        n, cum = len(x), np.concatenate([[0], np.cumsum(x)])
+        i = np.arange(a, b)
         low, high = np.maximum(0, i - half), np.minimum(n - 1, i + half)
-        total = x * (i - low) - (cum[i] - cum[low]) + (cum[high + 1] - cum[i + 1]) - x * (high - i)
-        return pd.DataFrame({"id": pdf["id"], "d": (high - low) / (total + 1e-20)})
+        total = x[i] * (i - low) - (cum[i] - cum[low]) + (cum[high + 1] - cum[i + 1]) - x[i] * (high - i)
+        return pd.DataFrame({"id": ids[a:b], "d": (high - low) / (total + 1e-20)})
+
+    return _in_order(points, half, "id long, d double", one).groupBy("id").agg(F.sum("d").alias("density"))
+
+
+def nearest_axis_density(points: DataFrame, k: int) -> DataFrame:
+    """id, density: for each dimension k over the sum of distances to the k nearest in it, on both sides together, plus
+    1e-20; summed over dimensions."""
+
+    def one(x: np.ndarray, ids: np.ndarray, a: int, b: int) -> pd.DataFrame:
+        out = []
+        for i in range(a, b):
+            near = np.abs(np.concatenate([x[max(0, i - k) : i], x[i + 1 : i + 1 + k]]) - x[i])
+            near.sort()
+            out.append(len(near[:k]) / (near[:k].sum() + 1e-20))
+        return pd.DataFrame({"id": ids[a:b], "d": np.array(out, float)})
+
+    return _in_order(points, k, "id long, d double", one).groupBy("id").agg(F.sum("d").alias("density"))
+
+
+def random_density(points: DataFrame, seed: str = "0") -> DataFrame:
+    """id, density: from 0 to 1, by a hash."""
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
+    return points.select("id", (number / F.lit(float(1 << 52))).alias("density"))
+
+
+def higher_in_window(points: DataFrame, density: DataFrame, half: int = 25) -> DataFrame:
+    """id, evidence: how many of the rows from `half` before to `half` - 1 after, in the order of each dimension, are denser,
+    summed over dimensions. At an end of the order the window is moved to stay whole."""
+    size = points.count()
+    both = points.join(density, "id").select("id", "v", "density")
+    rows = both.select("id", "density", F.posexplode("v").alias("dim", "x"))
+    order = Window.partitionBy("dim").orderBy("x", "id")
+    ranked = rows.withColumn("r", F.row_number().over(order) - 1)
+    start = F.when(F.greatest(F.col("r") - half, F.lit(0)) + 2 * half >= size, F.lit(max(0, size - 1 - 2 * half))).otherwise(F.greatest(F.col("r") - half, F.lit(0)))
+    own = ranked.withColumn("at", F.explode(F.sequence(start, F.least(start + 2 * half - 1, F.lit(size - 1)))))
+    other = ranked.select("dim", F.col("r").alias("at"), F.col("density").alias("d"))
+    met = own.join(other, ["dim", "at"]).groupBy("id").agg(F.count_if(F.col("d") > F.col("density")).alias("evidence"))
+    return met
+
+
+def densities(points: DataFrame, kind: str, k: int, seed: str = "0") -> DataFrame:
+    """id, density by one of the kinds of operators.kmeans.DENSITIES."""
+    if kind == "axis":
+        return nearest_axis_density(points, k)
+    if kind == "window":
+        return axis_density(points, k)
+    if kind == "random":
+        return random_density(points, seed)
+    return graph_density(knn_graph(points, k))
+
 
-    return rows.groupBy("dim").applyInPandas(one, "id long, d double").groupBy("id").agg(F.sum("d").alias("density"))
+def density_peaks(points: DataFrame, density: DataFrame, by: str = "gamma") -> DataFrame:
+    """id, peak: the distance to the nearest denser point (plain), that times the density (gamma) or the density alone; the
+    densest point's is infinite, but for the density."""
+    if by == "density":
+        return density.select("id", F.col("density").alias("peak"))
+    far = F.coalesce(F.col("delta").cast("double"), F.lit(float("inf")))
+    return peak_deltas(points, density).select("id", (far * F.col("density") if by == "gamma" else far).alias("peak"))
 
 
-def peak_deltas(points: DataFrame, density: DataFrame) -> DataFrame:
+def peak_deltas(points: DataFrame, density: DataFrame, block: int = 4096) -> DataFrame:
     """id, density, delta: the distance to the nearest denser point (ties in density: the smaller id is denser); null for
-    the densest. Sends the candidates as blocks, each a row."""
+    the densest. Rows meet as pairs of blocks of bounded size."""
     own = points.join(density, "id").select("id", "v", "density")
-    blocks = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-points.count() // 4096)))).alias("b")).agg(F.collect_list(F.struct("id", "v", "density")).alias("others"))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                y = np.array([o["v"] for o in r["others"]], np.int64)
-                d, i = np.array([o["density"] for o in r["others"]]), np.array([o["id"] for o in r["others"]])
-                denser = (d > r["density"]) | ((d == r["density"]) & (i < r["id"]))
-                out.append(int(np.floor(np.sqrt(distances(np.array([r["v"]], np.int64), y[denser]).min()))) if denser.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("density"), pa.array(out, pa.int64())], names=["id", "density", "delta"])
-
-    met = own.crossJoin(blocks.select("others")).mapInArrow(least, "id long, density double, delta long")
+    n = max(1, -(-points.count() // block))
+    rows = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("density").alias("density2"), F.col("b").alias("o2")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def least(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, dens = a.column("id").to_numpy(), a.column("density").to_numpy()
+        out = np.full(len(ids), -1, np.int64)
+        if len(ids) and b.num_rows:
+            x, y = (np.array(t.column(c).to_pylist(), np.int64) for t, c in ((a, "v"), (b, "v2")))
+            other, d2 = b.column("id2").to_numpy(), b.column("density2").to_numpy()
+            for i in range(0, len(ids), 512):
+                d = np.floor(np.sqrt(distances(x[i : i + 512], y))).astype(np.int64)
+                mine = dens[i : i + 512, None]
+                d[~((d2[None] > mine) | ((d2[None] == mine) & (other[None] < ids[i : i + 512, None])))] = np.iinfo(np.int64).max
+                low = d.min(1)
+                out[i : i + 512] = np.where(low == np.iinfo(np.int64).max, -1, low)
+        return pa.table({"id": ids, "density": dens, "delta": pa.array(out, mask=out < 0)})
+
+    met = left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInArrow(least, "id long, density double, delta long")
     return met.groupBy("id", "density").agg(F.min("delta").alias("delta"))
 
 
@@ -143,3 +238,43 @@ def hulls(points: DataFrame, by: str) -> DataFrame:
 
     rows = points.select(F.col(by).alias("g"), F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
     return rows.mapInPandas(part, f"g {kind}, x long, y long").groupBy("g").applyInPandas(last, f"g {kind}, n long, x long, y long").withColumnRenamed("g", by)
+
+
+# edge tables as graphs
+
+
+def add_edges(edges: DataFrame, more: DataFrame, both: bool = False) -> DataFrame:
+    """Edges (src, dst, dist) with more of them; one that is there keeps its distance. both: in both directions."""
+    cols = ["src", "dst", "dist"]
+    more = more.select(*cols)
+    if both:
+        more = more.union(more.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+    fresh = more.groupBy("src", "dst").agg(F.min("dist").alias("dist")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return edges.select(*cols).unionByName(fresh.select(*cols))
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame, both: bool = False) -> DataFrame:
+    """Edges without those of (src, dst) in `gone`. both: in both directions."""
+    gone = gone.select("src", "dst")
+    if both:
+        gone = gone.union(gone.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.join(gone, ["src", "dst"], "left_anti")
+
+
+def has_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, there) for each of the pairs."""
+    there = edges.select("src", "dst").distinct().withColumn("there", F.lit(True))
+    return pairs.select("src", "dst").join(there, ["src", "dst"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def neighbours_of(edges: DataFrame) -> DataFrame:
+    """src, k, dsts: the lists of a graph, nearest first, ties by id."""
+    near = F.array_sort(F.collect_list(F.struct("dist", "dst")))
+    return edges.groupBy("src").agg(F.count("*").alias("k"), F.transform(near, lambda e: e["dst"]).alias("dsts"))
+
+
+def add_neighbour(edges: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
+    """Lists of at most k neighbours with fresh ones put in: the k nearest stay, ties by id; with their ranks."""
+    all_ = edges.select("src", "dst", "dist").union(fresh.select("src", "dst", "dist")).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")

@@ -1,108 +1,160 @@
-"""K-means, initial codebooks, random swap, merging, shrinking, splitting, split-and-merge and the genetic algorithm.
+"""K-means, initial codebooks, random swap and annealing.
 
-Algorithms hold the codebook on the driver and see the points through plans.engine, so they run on Spark and in memory.
-Random choices come from numpy's generator and hashes with a seed of the caller's, so runs repeat.
+Algorithms hold the codebook on the driver and see the points through plans.engine, so they run on Spark and in memory, with
+the same results. Random choices are hashes of a seed of the caller's, so runs repeat and can be written in SQL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..plans.engine import Local, Points, distances, nearest
-
-#: Points of a cluster that a local step (splitting, sub-samples) looks at.
-LOCAL = 20_000
+from ..plans.engine import Local, Points, distances, nearest, statistics_of
+from .relational import hash_number
+from .search import SEARCHES, changed, reassign
 
 
 @dataclass
 class Solution:
-    """A codebook, its clusters' weights and its squared error; history: the error after each step."""
+    """A codebook, its clusters' weights and its squared error. history: the error after each step; moved: the number of
+    centroids that each step moved; index: the centroid index against a reference after each step, if asked for."""
 
     codebook: np.ndarray
     n: np.ndarray
     sse: int
     history: list[int] = field(default_factory=list)
+    moved: list[int] = field(default_factory=list)
+    index: list[int] = field(default_factory=list)
 
     def mse(self, points: Points) -> float:
         return self.sse / (points.weight * points.dim)
 
 
+def of_codebook(points: Points, c: np.ndarray) -> Solution:
+    """A codebook as a solution: its points and error, without moving it."""
+    s = points.statistics(np.asarray(c, np.int64))
+    return Solution(np.asarray(c, np.int64), s.n, s.sse, [s.sse])
+
+
+def drawn(seed: str, below: int) -> int:
+    """A number under `below` that looks random."""
+    return hash_number(seed, "draw") * below >> 52
+
+
 def _check(points: Points, k: int) -> None:
     if not 0 < k <= points.size:
         raise ValueError(f"{k} clusters of {points.size} points")
 
 
-def lloyd(points: Points, codebook: np.ndarray, iterations: int = 0, fill: bool = False) -> Solution:
+def medoids(points: Points, c: np.ndarray) -> np.ndarray:
+    """Each centroid replaced by the member nearest to it, ties to the smaller id; empty clusters keep theirs."""
+    if isinstance(points, Local):
+        of, d2, _ = nearest(points.x, c)
+        out, order = c.copy(), np.lexsort((points.ids, d2))
+        for i in order[::-1].tolist():
+            out[of[i]] = points.x[i]
+        return out
+    from pyspark.sql import functions as F
+
+    out, least = c.copy(), F.min(F.struct("d2", "id", "v")).alias("m")
+    for r in points.assigned(c).groupBy("cid").agg(least).collect():  # a row a cluster
+        out[r["cid"]] = r["m"]["v"]
+    return out
+
+
+def filled(points: Points, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Empty clusters get the points that cost most, in order of their numbers."""
+    empty = np.flatnonzero(n == 0)
+    if len(empty):
+        c = c.copy()
+        worst = points.worst(c, len(empty))
+        c[empty[: len(worst)]] = worst
+    return c
+
+
+def lloyd(points: Points, codebook: np.ndarray, iterations: int = 0, fill: bool = False, search: str = "full", members: bool = False, noise: Callable[[np.ndarray, int], np.ndarray] | None = None) -> Solution:
     """Assigns and re-centres until the error falls no more, or so many times (0: no limit).
 
-    fill: empty clusters get the points that cost most. Without it they keep their vectors.
+    fill: empty clusters get the points that cost most, and the clusters that lose them are centred without them first.
+    Without it they keep their vectors. search: how the engine in memory looks for the nearest (all with the same result;
+    Spark's passes look at all pairs). members: centroids are members of their clusters. noise(codebook, step) is added to
+    each new codebook.
     """
+    if search not in SEARCHES:
+        raise ValueError(f"no search {search!r}")
     c = np.asarray(codebook, np.int64)
-    s, history = points.statistics(c), []
+    s, history, moved, of = points.statistics(c), [], [], None
     while True:
         history.append(s.sse)
         if iterations and len(history) > iterations:
             break
         new = s.centroids(c)
-        empty = np.flatnonzero(s.n == 0)
-        if fill and len(empty):
-            worst = points.worst(c, len(empty))
-            new[empty[: len(worst)]] = worst
-        t = points.statistics(new)
-        if t.sse >= s.sse and not (fill and len(empty) and t.sse < s.sse):
+        if fill and (s.n == 0).any():
+            new = filled(points, new, s.n)
+        if members:
+            new = medoids(points, new)
+        if noise:
+            new = noise(new, len(history))
+        if search != "full" and isinstance(points, Local):
+            of = nearest(points.x, c)[0] if of is None else of
+            of_new, d2, _ = reassign(points.x, new, c, of, search)
+            t = statistics_of(points.x, points.w, len(new), of_new, d2, d2)
+        else:
+            of_new, t = None, points.statistics(new)
+        if t.sse >= s.sse:
             break
-        c, s = new, t
-    return Solution(c, s.n, s.sse, history)
+        moved.append(len(changed(c, new)))
+        c, s, of = new, t, of_new
+    return Solution(c, s.n, s.sse, history, moved)
 
 
 # initial codebooks
 
 
 def random_init(points: Points, k: int, seed: str = "0", unique: bool = True) -> np.ndarray:
-    """k points by a hash; without duplicate vectors if unique, as long as the first 4k drawn have enough others."""
+    """k points by a hash; without duplicate vectors if unique, as long as there are k different ones."""
     _check(points, k)
-    drawn = points.sample(min(points.size, 4 * k + 100) if unique else k, seed)
+    many = k
+    while True:
+        many = min(points.size, 4 * many + 100) if unique else k
+        x = points.sample(many, seed)
+        seen: dict[tuple, int] = {}
+        for i, v in enumerate(map(tuple, x.tolist())):
+            seen.setdefault(v, i)
+        if not unique or len(seen) >= k or many == points.size:
+            break
     if not unique:
-        return drawn
-    seen: dict[tuple, int] = {}
-    for i, v in enumerate(map(tuple, drawn.tolist())):
-        seen.setdefault(v, i)
+        return x
     first = [*seen.values()][:k]
-    rest = [i for i in range(len(drawn)) if i not in set(first)]
-    return drawn[[*first, *rest][:k]]
+    rest = sorted(set(range(len(x))) - set(first))
+    return x[[*first, *rest][:k]]
 
 
-def plus_plus_init(points: Points, k: int, seed: str = "0", tries: int = 1, oversample: int = 4) -> np.ndarray:
-    """D-squared sampling. On Spark candidates come from rounds of worst points and a hash sample, weighted by the points
-    nearest to them, as k-means|| does; in memory each is drawn from all points."""
+def weighted_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
+    """k points by weight, each drawn anew while it is one that was drawn, 100 times at most."""
     _check(points, k)
-    if not isinstance(points, Local):
-        pool = np.unique(np.concatenate([points.sample(oversample * k, seed), points.worst(points.sample(k, seed), k)]), axis=0)
-        small = Local(pool, np.maximum(points.statistics(pool).n, 1))
-        return plus_plus_init(small, min(k, small.size), seed, max(tries, 2))
-    rng = np.random.default_rng(abs(hash_of(seed)))
-    chosen = [int(rng.choice(points.size, p=points.w / points.w.sum()))]
-    d2 = distances(points.x, points.x[chosen]).min(1)
-    while len(chosen) < k:
-        mass = (d2 * points.w).astype(float)
-        best = None
-        for _ in range(tries):
-            i = int(rng.choice(points.size, p=mass / mass.sum())) if mass.sum() else int(np.setdiff1d(np.arange(points.size), chosen)[0])
-            left = np.minimum(d2, distances(points.x, points.x[[i]])[:, 0])
-            cost = int((left * points.w).sum())
-            if best is None or cost < best[0]:
-                best = cost, i, left
-        chosen.append(best[1])
-        d2 = best[2]
-    return points.x[chosen]
-
+    out: list[tuple] = []
+    for i in range(k):
+        for t in range(100):
+            v = tuple(points.pick(drawn(f"{seed}/{i}/{t}", 1 << 52) / (1 << 52)).tolist())
+            if v not in out:
+                break
+        out.append(v)
+    return np.array(out, np.int64)
 
-def hash_of(seed: str) -> int:
-    import zlib
 
-    return zlib.crc32(str(seed).encode())
+def plus_plus_init(points: Points, k: int, seed: str = "0", tries: int = 1) -> np.ndarray:
+    """D-squared sampling: each point is drawn by its weight times its squared distance to those drawn before; of some
+    tries the one that leaves the least error."""
+    _check(points, k)
+    u = lambda i, t: drawn(f"{seed}/{i}/{t}", 1 << 52) / (1 << 52)
+    c = points.pick(u(0, 0))[None]
+    while len(c) < k:
+        made = [np.concatenate([c, points.pick(u(len(c), t), c)[None]]) for t in range(tries)]
+        c = made[0] if tries == 1 else min(made, key=lambda x: points.statistics(x).sse)
+    return c
 
 
 def maxmin_init(points: Points, k: int, from_mean: bool = True, seed: str = "0") -> np.ndarray:
@@ -110,66 +162,68 @@ def maxmin_init(points: Points, k: int, from_mean: bool = True, seed: str = "0")
     _check(points, k)
     zero = np.zeros((1, points.dim), np.int64)
     c = points.statistics(zero).centroids(zero) if from_mean else points.sample(1, seed)
-    unweighted = Local(points.x, None, points.ids) if isinstance(points, Local) else type(points)(_unit(points.points))
+    plain = points.unweighted()
     while len(c) < k:
-        c = np.concatenate([c, unweighted.worst(c, 1)])
+        c = np.concatenate([c, plain.worst(c, 1)])
     return c
 
 
-def _unit(points):
-    from pyspark.sql import functions as F
-
-    return points.withColumn("freq", F.lit(1).cast("bigint"))
-
-
 def bradley_init(points: Points, k: int, subsets: int = 10, share: int = 10, seed: str = "0") -> np.ndarray:
-    """K-means on sub-samples, then on the pooled centroids from each sub-sample's solution; the best on the pool."""
+    """K-means on as many sub-samples, each of a tenth of the points, then on the pooled centroids from each sub-sample's
+    solution; the best on the pool."""
     _check(points, k)
-    size = max(k, min(points.size // share, LOCAL))
-    found = [lloyd(Local(points.sample(size, f"{seed}/{j}")), random_init(Local(points.sample(size, f"{seed}/{j}")), k, seed), 50, True).codebook for j in range(subsets)]
+    found = []
+    for j in range(subsets):
+        own = part(points, share, f"{seed}/{j}")
+        own = own if own.size >= k else Local(points.sample(k, f"{seed}/{j}"))
+        found.append(lloyd(own, random_init(own, k, seed), 50, True).codebook)
     pool = Local(np.concatenate(found))
     return min((lloyd(pool, c, 50) for c in found), key=lambda s: s.sse).codebook
 
 
+def part(points: Points, share: int, seed: str) -> Points:
+    """About one of `share` points, by a hash, unweighted, in the same engine: on Spark they stay on the executors."""
+    if isinstance(points, Local):
+        own = np.array([hash_number(seed, i) % share == 0 for i in points.ids.tolist()], bool)
+        return Local(points.x[own], None, points.ids[own])
+    from pyspark.sql import functions as F
+
+    from ..plans.engine import Spark
+    from .relational import by_hash
+
+    number = F.conv(F.substring(by_hash(points.points, seed), 1, 13), 16, 10).cast("bigint")
+    return Spark(points.points.where(number % share == 0).withColumn("freq", F.lit(1).cast("bigint")))
+
+
 def projection_init(points: Points, k: int, furthest: bool = False, seed: str = "0") -> np.ndarray:
-    """Points (of a sample of bounded size) in order of their projection on an axis, every so manieth taken."""
+    """All points in order of their projection on an axis, every so manieth taken. The axis goes through two random points,
+    or through one and what is furthest from it."""
     _check(points, k)
-    x = points.sample(min(points.size, max(LOCAL, k)), seed)
-    a = x[0]
-    b = x[int(distances(x, a[None])[:, 0].argmax())] if furthest else x[1 % len(x)]
-    order = np.argsort(x @ (a - b), kind="stable")
-    return x[order[np.arange(k) * (len(x) // k)]]
+    two = points.sample(2, seed)
+    other = points.unweighted().worst(two[:1], 1)[0] if furthest else two[-1]
+    return points.ranked("dot", two[0] - other, [i * (points.size // k) for i in range(k)])
 
 
 def sorting_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
-    """Points of the sample in order of their distance to a random one, the middle of each of k parts."""
+    """All points in order of their distance to a random one, the middle of each of k parts."""
     _check(points, k)
-    x = points.sample(min(points.size, max(LOCAL, k)), seed)
-    order = np.argsort(distances(x, x[:1])[:, 0], kind="stable")
-    return x[order[(np.arange(k) * len(x) + len(x) // 2) // k]]
+    return points.ranked("d2", points.sample(1, seed)[0], [(i * points.size + points.size // 2) // k for i in range(k)])
 
 
 def stratified_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
-    """One point of each of k equal parts of the sample in its order of hashes."""
+    """One point of each of k equal parts of all points in an order by hashes; the last part is open."""
     _check(points, k)
-    x = points.sample(min(points.size, max(LOCAL, k)), seed)
-    rng = np.random.default_rng(hash_of(seed))
-    part = len(x) // k
-    return x[[i * part + int(rng.integers(part if i < k - 1 else len(x) - i * part)) for i in range(k)]]
+    size = points.size // k
+    ranks = [i * size + drawn(f"{seed}/{i}", size if i < k - 1 else points.size - i * size) for i in range(k)]
+    return points.ranked("hash", seed, ranks)
 
 
 def partition_init(points: Points, k: int, tries: int = 5, seed: str = "0") -> np.ndarray:
-    """Random labels for the sample's points, their centroids; the best of some tries."""
+    """Random labels for all points, their centroids; the best of some tries. A part without points gets a random one."""
     _check(points, k)
-    x = points.sample(min(points.size, max(LOCAL, k)), seed)
-    best = None
-    for t in range(tries):
-        rng = np.random.default_rng([hash_of(seed), t])
-        of = np.concatenate([np.arange(k), rng.integers(0, k, len(x) - k)])
-        c = np.array([np.floor(x[of == j].mean(0) + 0.5) for j in range(k)], np.int64)
-        sse = points.statistics(c).sse
-        best = (sse, c) if best is None or sse < best[0] else best
-    return best[1]
+    spare = random_init(points, k, seed, False)
+    found = [points.labelled(f"{seed}/{t}", k).centroids(spare) for t in range(tries)]
+    return min(found, key=lambda c: points.statistics(c).sse)
 
 
 def luxburg_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
@@ -181,7 +235,7 @@ def luxburg_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
     c = s.centroids(c)
     order = np.argsort(-s.n, kind="stable")
     c = c[order[: max(k, int((s.n * many >= points.weight).sum()))]]
-    chosen = [hash_of(seed) % len(c)]
+    chosen = [drawn(seed, len(c))]
     while len(chosen) < k:
         d = distances(c, c[chosen]).min(1)
         d[chosen] = -1
@@ -190,16 +244,17 @@ def luxburg_init(points: Points, k: int, seed: str = "0") -> np.ndarray:
 
 
 def splitting_init(points: Points, k: int, iterations: int = 5, seed: str = "0") -> np.ndarray:
-    """The largest cluster is split by 2-means until there are k."""
+    """The largest cluster is split by 2-means on all its points until there are k."""
     _check(points, k)
     zero = np.zeros((1, points.dim), np.int64)
     c = points.statistics(zero).centroids(zero)
     while len(c) < k:
         s = points.statistics(c)
         for j in np.argsort(-s.n, kind="stable").tolist():
-            own = points.members(c, j, LOCAL)
-            if own.size > 1 and len(np.unique(own.x, axis=0)) > 1:
-                two = lloyd(own, random_init(own, 2, f"{seed}/{len(c)}"), iterations).codebook
+            own = points.within(c, j)
+            two = random_init(own, 2, f"{seed}/{len(c)}") if own.size > 1 else c[:0]
+            if len(two) and (two[0] != two[1]).any():
+                two = lloyd(own, two, iterations).codebook if iterations else two
                 c = np.concatenate([c[:j], two[:1], c[j + 1 :], two[1:]])
                 break
         else:
@@ -207,63 +262,100 @@ def splitting_init(points: Points, k: int, iterations: int = 5, seed: str = "0")
     return c
 
 
-def density_init(points: Points, k: int, neighbours: int = 0, seed: str = "0") -> np.ndarray:
-    """Density peaks of all points: those of the largest distance to a denser one, times their density; ties to the
-    smaller id. Every point meets every other, in blocks."""
-    _check(points, k)
-    near = neighbours or min(50, max(2, points.size // k // 2))
-    if not isinstance(points, Local):
-        return _density_peaks(points, k, near)
-    x, step = points.x, max(1, 4_000_000 // points.size)
-    root = lambda a, b: np.floor(np.sqrt(distances(a, b)))
-    density = np.zeros(len(x))
-    for i in range(0, len(x), step):
-        d = root(x[i : i + step], x)
-        some = min(near + 1, len(x))
-        density[i : i + step] = near / (np.partition(d, some - 1, 1)[:, :some].sum(1) + 1e-20)
-    order = np.lexsort((points.ids, -density))
-    delta = np.full(len(x), np.inf)  # of the densest, which comes first
-    for i in range(0, len(x), step):
-        d = root(x[order[i : i + step]], x[order[: i + step]])
-        d[np.arange(d.shape[1]) >= i + np.arange(len(d))[:, None]] = np.inf
-        delta[order[i : i + step]] = d.min(1)
-    return x[np.lexsort((points.ids, -(delta * density)))[:k]]
-
-
-def _density_peaks(points: Points, k: int, near: int) -> np.ndarray:
-    """density_init on Spark."""
+#: Densities: of nearest neighbours by dimension, of the exact neighbour graph, of a window by dimension, random.
+DENSITIES = ("axis", "graph", "window", "random")
+#: What peaks are chosen by: the distance to a denser point, that times the density, the density.
+DELTAS = ("plain", "gamma", "density")
+
+
+def density_init(points: Points, k: int, neighbours: int = 0, seed: str = "0", density: str = "graph", delta: str = "gamma") -> np.ndarray:
+    """Density peaks of all points; ties to the smaller id. Points meet every denser one, in blocks."""
+    from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
     from . import graphs
 
-    sums = graphs.knn_graph(points.points, near).groupBy(F.col("src").alias("id")).agg(F.sum("dist").cast("double").alias("sum"))
-    density = sums.select("id", (F.lit(float(near)) / (F.col("sum") + F.lit(1e-20))).alias("density"))
-    peak = F.coalesce(F.col("delta").cast("double"), F.lit(float("inf"))) * F.col("density")
-    top = graphs.peak_deltas(points.points, density).select("id", peak.alias("peak")).orderBy(F.desc("peak"), "id").limit(k)
-    rows = points.points.join(F.broadcast(top), "id").orderBy(F.desc("peak"), "id").collect()  # k rows
-    return np.array([r["v"] for r in rows], np.int64).reshape(-1, points.dim)
+    _check(points, k)
+    if density not in DENSITIES or delta not in DELTAS:
+        raise ValueError(f"no density {density!r} or delta {delta!r}")
+    near = neighbours or min(50, max(2, points.size // k // 2))
+    if isinstance(points, Local):
+        spark = SparkSession.active()
+        rows = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(points.ids, points.x, strict=True)], "id long, v array<long>, freq long")
+    else:
+        rows = points.points
+    top = graphs.density_peaks(rows, graphs.densities(rows, density, near, seed), delta).orderBy(F.desc("peak"), "id").limit(k)
+    found = rows.join(F.broadcast(top), "id").orderBy(F.desc("peak"), "id").collect()  # k rows
+    return np.array([r["v"] for r in found], np.int64).reshape(-1, points.dim)
+
+
+def hybrid_init(points: Points, k: int, times: int = 20, neighbours: int = 0, seed: str = "0") -> np.ndarray:
+    """Density peaks of a sample of `times` k points, by a hash."""
+    _check(points, k)
+    return density_init(Local(points.sample(min(points.size, times * k), seed)), k, neighbours, seed)
 
 
 def overlap_init(points: Points, k: int, variant: float = 2.0, seed: str = "0") -> np.ndarray:
-    """K-means on the sample with random mixtures of pairs added, which draws clusters together."""
+    """K-means on all points with mixtures of pairs added, which draws clusters together: (variant - 1) mixtures a point, of
+    it and of a random one of 1,024 others."""
     _check(points, k)
-    x = points.sample(min(points.size, max(LOCAL, k)), seed)
-    rng = np.random.default_rng(hash_of(seed))
-    more = max(0, int(len(x) * variant) - len(x))
-    a, b, t = rng.integers(0, len(x), more), rng.integers(0, len(x), more), rng.random((more, 1))
-    mixed = Local(np.concatenate([x, np.floor(x[a] * t + x[b] * (1 - t) + 0.5).astype(np.int64)]))
+    others = points.sample(min(points.size, 1024), f"{seed}/others")
+    more = max(0, round(1000 * (variant - 1)))
+
+    def mixtures(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of the mixtures of some points; a rest of more / 1000 has one for as many points."""
+        out_ids, out = [], []
+        for i, v in zip(ids.tolist(), x, strict=True):
+            for j in range(more // 1000 + (hash_number(f"{seed}/some", i) % 1000 < more % 1000)):
+                t = hash_number(f"{seed}/share/{j}", i) % 1001
+                other = others[hash_number(f"{seed}/other/{j}", i) % len(others)]
+                out_ids.append(hash_number(f"{seed}/id/{j}", i))
+                out.append((2 * (v * t + other * (1000 - t)) + 1000) // 2000)
+        return np.array(out_ids, np.int64), np.array(out, np.int64).reshape(-1, x.shape[1])
+
+    if isinstance(points, Local):
+        ids, x = mixtures(points.ids, points.x)
+        mixed: Points = Local(np.concatenate([points.x, x]), None, np.concatenate([points.ids, ids]))
+    else:
+        import pyarrow as pa
+        from pyspark.sql import functions as F
+
+        from ..plans.engine import Spark
+
+        dim = points.dim
+
+        def rows(batches):
+            for b in batches:
+                ids, x = mixtures(b.column("id").to_numpy(), b.column("v").flatten().to_numpy().reshape(-1, dim))
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "v": pa.array(x.tolist(), pa.list_(pa.int64())), "freq": pa.array(np.ones(len(ids), np.int64))})
+
+        own = points.points.withColumn("freq", F.lit(1).cast("bigint"))
+        mixed = Spark(own.union(own.mapInArrow(rows, "id long, v array<long>, freq long")))
     return lloyd(mixed, random_init(mixed, k, seed), 50, True).codebook
 
 
-INITS = {"random": random_init, "kmeans++": plus_plus_init, "bradley": bradley_init, "projection": projection_init, "luxburg": luxburg_init, "maxmin": maxmin_init, "partition": partition_init, "splitting": splitting_init, "sorting": sorting_init, "density": density_init, "stratified": stratified_init, "overlap": overlap_init}
+def exhaustive_init(points: Points, k: int, seed: str = "0", most: int = 100_000) -> np.ndarray:
+    """The best of all combinations of k distinct points; an error where there are more than `most`."""
+    from itertools import combinations
+    from math import comb
 
+    _check(points, k)
+    x = np.unique(points.sample(points.size if points.size <= most else most + 1, seed), axis=0)
+    if comb(len(x), k) > most:
+        raise ValueError("too many combinations")
+    best = min(combinations(range(len(x)), k), key=lambda own: points.statistics(x[list(own)]).sse)
+    return x[list(best)]
 
-def kmeans(points: Points, k: int, init: str = "random", repeats: int = 1, iterations: int = 0, seed: str = "0", start: np.ndarray | None = None) -> Solution:
+
+INITS = {"random": random_init, "weighted": weighted_init, "kmeans++": plus_plus_init, "bradley": bradley_init, "projection": projection_init, "luxburg": luxburg_init, "maxmin": maxmin_init, "partition": partition_init, "splitting": splitting_init, "sorting": sorting_init, "density": density_init, "hybrid": hybrid_init, "stratified": stratified_init, "overlap": overlap_init}
+
+
+def kmeans(points: Points, k: int, init: str = "random", repeats: int = 1, iterations: int = 0, seed: str = "0", start: np.ndarray | None = None, search: str = "full") -> Solution:
     """The best of some runs; the first from `start` if given."""
     best = None
     for r in range(repeats):
         c = start if start is not None and not r else INITS[init](points, k, seed=f"{seed}/{r}")
-        s = lloyd(points, c, iterations)
+        s = lloyd(points, c, iterations, search=search)
         best = s if best is None or s.sse < best.sse else best
     return best
 
@@ -271,226 +363,75 @@ def kmeans(points: Points, k: int, init: str = "random", repeats: int = 1, itera
 # random swap
 
 
-def random_swap(points: Points, k: int, trials: int = 5000, iterations: int = 2, deterministic: bool = False, seed: str = "0", start: np.ndarray | None = None) -> Solution:
-    """Replaces a centroid by a point, tunes with a few K-means iterations, keeps what is strictly better.
+def swapped(points: Local, c: np.ndarray, of: np.ndarray, j: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centroid j replaced by v, and local repartition: the points of j go to their nearest, v attracts what is nearer to it.
+    (codebook, cid, d2), as a full search would assign them."""
+    new = c.copy()
+    new[j] = v
+    return new, *reassign(points.x, new, c, of, "local")[:2]
+
+
+def random_swap(points: Points, k: int, trials: int = 5000, iterations: int = 2, deterministic: bool = False, seed: str = "0", start: np.ndarray | None = None, reference: np.ndarray | None = None) -> Solution:
+    """Replaces a centroid by a point, repartitions, tunes with a few K-means iterations, keeps what is strictly better.
 
     deterministic: the centroid that costs least to remove goes, chosen anew after a success. trials 0: ends when the gain
-    of two trials together is under 1e-5, after 50000 at most.
+    of two trials together is under 1e-5, after 50000 at most. In memory a swap looks only at the points of the cluster that
+    goes and at the new centroid. With a reference codebook the centroid index is noted after each trial.
     """
     best = lloyd(points, random_init(points, k, seed) if start is None else start, iterations)
-    history, rng = [best.sse], np.random.default_rng(hash_of(seed))
+    local = isinstance(points, Local)
+    of = nearest(points.x, best.codebook)[0] if local else None
+    history, index = [best.sse], []
     pool, used, victim, gains = points.sample(min(points.size, 1000), f"{seed}/swap"), 0, None, [1.0, 1.0]
     for trial in range(trials or 50_000):
         if used >= len(pool):
             pool, used = points.sample(min(points.size, 1000), f"{seed}/swap/{trial}"), 0
         v, used = pool[used], used + 1
-        if (best.codebook == v).all(1).any():
-            history.append(best.sse)
-            continue
-        if deterministic and victim is None:
-            victim = int(points.statistics(best.codebook).loss.argmin())
-        c = best.codebook.copy()
-        c[victim if deterministic else int(rng.integers(k))] = v
-        s = lloyd(points, c, iterations)
-        gains = [gains[-1], (best.sse - s.sse) / max(1, best.sse) if s.sse < best.sse else 0.0]
-        if s.sse < best.sse:
-            best, victim = s, None
+        if not (best.codebook == v).all(1).any():
+            if deterministic and victim is None:
+                victim = int(points.statistics(best.codebook).loss.argmin())
+            j = victim if deterministic else drawn(f"{seed}/victim/{trial}", k)
+            if local:
+                c, cid, d2 = swapped(points, best.codebook, of, j, v)
+                s, now = _tuned(points, c, cid, d2, iterations)
+            else:
+                c = best.codebook.copy()
+                c[j] = v
+                s, now = lloyd(points, c, iterations), None
+            gains = [gains[-1], (best.sse - s.sse) / max(1, best.sse) if s.sse < best.sse else 0.0]
+            if s.sse < best.sse:
+                best, victim, of = s, None, now
         history.append(best.sse)
+        if reference is not None:
+            index.append(centroid_index(best.codebook, reference))
         if not trials and sum(gains) < 1e-5:
             break
-    return Solution(best.codebook, best.n, best.sse, history)
-
-
-# merging, shrinking, splitting
-
-
-def merge_costs(c: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Growth of the squared error of merging each pair; infinite on the diagonal."""
-    w = n.astype(float)
-    both = w[:, None] + w[None, :]
-    cost = np.where(both > 0, w[:, None] * w[None, :] / np.maximum(both, 1) * distances(c, c), 0.0)
-    cost = np.floor(cost + 0.5)
-    np.fill_diagonal(cost, np.inf)
-    return cost
-
-
-def pnn(c: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges the cheapest pair (the lowest numbers at ties) until k clusters are left; the last takes the gap's place."""
-    c, n = c.astype(np.int64).copy(), n.astype(np.int64).copy()
-    cost = merge_costs(c, n)
-    while len(c) > k:
-        a, b = sorted(divmod(int(cost.argmin()), len(c)))
-        w = int(n[a] + n[b])
-        if w:
-            c[a] = [(2 * (int(n[a]) * int(x) + int(n[b]) * int(y)) + w) // (2 * w) for x, y in zip(c[a], c[b], strict=True)]
-        n[a] = w
-        c[b], n[b] = c[-1], n[-1]
-        cost[b], cost[:, b] = cost[-1], cost[:, -1]
-        cost[b, b] = np.inf
-        c, n, cost = c[:-1], n[:-1], cost[:-1, :-1].copy()
-        if a < len(c):
-            both = np.maximum(n + n[a], 1)
-            cost[a] = cost[:, a] = np.floor(n * float(n[a]) / both * distances(c, c[a : a + 1])[:, 0] + 0.5)
-            cost[a, a] = np.inf
-    return c, n
-
-
-def shrink(points: Points, codebook: np.ndarray, k: int) -> Solution:
-    """Removes the cluster whose points lose least at their second centroids, re-centres, until k are left."""
-    c = np.asarray(codebook, np.int64)
-    while True:
-        s = points.statistics(c)
-        if len(c) <= k:
-            return Solution(c, s.n, s.sse)
-        c = np.delete(s.centroids(c), int(np.where(s.n > 0, s.loss.astype(float), -1.0).argmin()), 0)
-
-
-CHOICES = ("error", "size", "third", "furthest", "random", "all", "optimal")
+    return Solution(best.codebook, best.n, best.sse, history, [], index)
 
 
-def _halves(own: Local, axis: str, seed: str) -> np.ndarray | None:
-    """Two centroids of a cluster cut across an axis where the error falls most."""
-    if len(np.unique(own.x, axis=0)) < 2:
-        return None
-    x, w = own.x.astype(float), own.w.astype(float)
-    mean = np.average(x, axis=0, weights=w)
-    if axis == "pca":
-        _, vectors = np.linalg.eigh(((x - mean) * w[:, None]).T @ (x - mean))
-        line = vectors[:, -1]
-    else:
-        a = x[int(((x - mean) ** 2).sum(1).argmax())]
-        line = x[int(((x - a) ** 2).sum(1).argmax())] - a
-    order = np.argsort((x - mean) @ line, kind="stable")
-    cw, cs = np.cumsum(w[order]), np.cumsum((x - mean)[order] * w[order][:, None], 0)
-    gain = (cs[:-1] ** 2).sum(1) / cw[:-1] + ((cs[-1] - cs[:-1]) ** 2).sum(1) / (cw[-1] - cw[:-1])
-    cut = int(gain.argmax()) + 1
-    parts = [np.average(x[order[p]], axis=0, weights=w[order[p]]) for p in (slice(cut), slice(cut, None))]
-    return np.floor(np.array(parts) + 0.5).astype(np.int64)
-
-
-def split(points: Points, codebook: np.ndarray, k: int, choice: str = "optimal", axis: str = "pca", tune: int = 2, seed: str = "0") -> Solution:
-    """Cuts clusters in two until there are k, tuning with K-means iterations after each.
-
-    choice: the cluster of the largest error, size, third moment, spread, a random one, each in turn (all), or the one
-    whose cut lowers the error most (optimal, among the eight of the largest error).
-    """
-    c, rng, turn = np.asarray(codebook, np.int64), np.random.default_rng(hash_of(seed)), []
-    while len(c) < k:
-        s = points.statistics(c)
-        error = np.array([float(e) for e in s.error])
-        order = np.argsort(-error, kind="stable").tolist()
-        if choice == "size":
-            order = np.argsort(-s.n, kind="stable").tolist()
-        elif choice == "random":
-            order = rng.permutation(len(c)).tolist()
-        elif choice == "all":
-            turn = [*turn[1:]] or list(range(len(c)))
-            order = [*turn, *(j for j in order if j not in turn)]
-        elif choice in ("third", "furthest"):
-            held = {j: points.members(c, j, LOCAL) for j in order[:8]}
-            far = lambda j: (distances(held[j].x, c[j : j + 1])[:, 0].astype(float) ** (1.5 if choice == "third" else 1)) * held[j].w
-            order = sorted(held, key=lambda j: -(far(j).sum() if choice == "third" else far(j).max(initial=0)))
-        best = None
-        for j in order[: 8 if choice == "optimal" else len(order)]:
-            own = points.members(c, j, LOCAL)
-            two = _halves(own, axis, seed) if own.size > 1 else None
-            if two is not None:
-                gain = own.statistics(c[j : j + 1]).sse - own.statistics(two).sse
-                if best is None or gain > best[0]:
-                    best = gain, j, two
-                if choice != "optimal":
-                    break
-        if best is None:
+def _tuned(points: Local, c: np.ndarray, of: np.ndarray, d2: np.ndarray, iterations: int) -> tuple[Solution, np.ndarray]:
+    """lloyd from an assignment, by local searches; and the last assignment."""
+    s, done = statistics_of(points.x, points.w, len(c), of, d2, d2), 0
+    while not iterations or done < iterations:
+        new = s.centroids(c)
+        now, d2, _ = reassign(points.x, new, c, of, "local")
+        t = statistics_of(points.x, points.w, len(c), now, d2, d2)
+        if t.sse >= s.sse:
             break
-        c = np.concatenate([c, best[2][1:]])
-        c[best[1]] = best[2][0]
-        if tune:
-            c = lloyd(points, c, tune).codebook
-    s = points.statistics(c)
-    return Solution(c, s.n, s.sse)
+        c, s, of, done = new, t, now, done + 1
+    return Solution(c, s.n, s.sse), of
 
 
-def split_and_merge(points: Points, codebook: np.ndarray, iterations: int = 10, step: int = 2, order: str = "split-merge", tune: int = 2, decay: float = 0.0, seed: str = "0") -> Solution:
-    """Splits some clusters and merges as many, in turn; the best codebook of the nominal size is kept.
+def success_histogram(history: list[int], parts: int = 10) -> list[int]:
+    """How many steps of each part of a run lowered the error."""
+    gains = [b < a for a, b in zip(history, history[1:], strict=False)]
+    return [sum(gains[i * len(gains) // parts : (i + 1) * len(gains) // parts]) for i in range(parts)]
 
-    order: split-merge, merge-split, fifty (one of them at random) or better (both, the better one stays).
-    """
-    k, rng = len(codebook), np.random.default_rng(hash_of(seed))
-    best = now = lloyd(points, codebook, tune)
-    history = [best.sse]
-    for i in range(iterations):
-        h = max(1, min(step, k - 1)) if k > 1 else 0
-
-        def up(s: Solution, size: int) -> Solution:
-            return split(points, s.codebook, size, "error", tune=0, seed=f"{seed}/{i}")
-
-        def down(s: Solution, size: int) -> Solution:
-            c, n = pnn(s.codebook, points.statistics(s.codebook).n, size)
-            return Solution(c, n, points.statistics(c).sse)
-
-        first = order == "split-merge" or (order == "fifty" and rng.integers(2) == 0)
-        one = down(up(now, k + h), k) if first or order == "better" else None
-        two = up(down(now, k - h), k) if not first or order == "better" else None
-        made = min((x for x in (one, two) if x is not None), key=lambda s: s.sse)
-        now = lloyd(points, made.codebook, tune, True)
-        step = max(1, int(step * (1 - decay)))
-        best = now if len(now.codebook) == k and now.sse < best.sse else best
-        history.append(best.sse)
-    return Solution(best.codebook, best.n, best.sse, history)
-
-
-# genetic algorithm
-
-
-def select(errors: list[int], size: int, method: str = "elitist", seed: str = "0") -> list[tuple[int, int]]:
-    """Pairs of parents (numbers in order of error). elitist: all pairs of the few best; zigzag: neighbours in rank;
-    roulette: by 1 / (1 + error)."""
-    rng = np.random.default_rng(hash_of(seed))
-    if method == "roulette":
-        p = 1 / (1 + np.array([float(e) for e in errors]))
-        return [tuple(rng.choice(len(errors), 2, replace=len(errors) < 2, p=p / p.sum()).tolist()) for _ in range(size)]
-    pairs = [(i, j) for j in range(1, len(errors)) for i in range(j)] if method == "elitist" else [(i, i + d) for d in (1, 2) for i in range(len(errors) - d)]
-    return [pairs[i % len(pairs)] for i in range(size)] if pairs else [(0, 0)] * size
-
-
-def cross(points: Points, a: Solution, b: Solution, method: str = "pnn", seed: str = "0") -> np.ndarray:
-    """A codebook of two: random halves, by distance to the mean, pairwise nearest, or the union merged (pnn, shrink)."""
-    k, rng = len(a.codebook), np.random.default_rng(hash_of(seed))
-    both = np.concatenate([a.codebook, b.codebook])
-    if method == "random":
-        return np.unique(both, axis=0)[rng.permutation(len(np.unique(both, axis=0)))][:k] if len(np.unique(both, axis=0)) >= k else both[:k]
-    if method == "distance":
-        mean = np.floor(both.mean(0) + 0.5).astype(np.int64)[None]
-        near, far = (s.codebook[np.argsort(distances(s.codebook, mean)[:, 0], kind="stable")] for s in (a, b))
-        return np.concatenate([near[: k // 2], far[k // 2 :]])
-    if method == "pairwise":
-        mate = b.codebook[nearest(a.codebook, b.codebook)[0]]
-        return np.where(rng.integers(0, 2, (k, 1)) == 1, mate, a.codebook)
-    s = points.statistics(both)
-    used = np.flatnonzero(s.n > 0) if (s.n > 0).sum() >= k else np.argsort(-s.n, kind="stable")[:k]
-    if method == "shrink":
-        return shrink(points, s.centroids(both)[used], k).codebook
-    return pnn(s.centroids(both)[used], s.n[used], k)[0]
-
-
-def genetic(points: Points, k: int, generations: int = 10, population: int = 8, method: str = "pnn", selection: str = "elitist", mutations: int = 0, tune: int = 2, seed: str = "0") -> Solution:
-    """Crosses the best solutions, tunes the offspring and keeps the best. generations 0: until a generation brings
-    nothing."""
-    rng = np.random.default_rng(hash_of(seed))
-    now = sorted((lloyd(points, random_init(points, k, f"{seed}/{i}"), tune) for i in range(population)), key=lambda s: s.sse)
-    history, g = [now[0].sse], 0
-    while True:
-        made = [now[0]]
-        for i, (a, b) in enumerate(select([s.sse for s in now], population - 1, selection, f"{seed}/{g}")):
-            c = cross(points, now[a], now[b], method, f"{seed}/{g}/{i}")
-            for _ in range(mutations):
-                c[int(rng.integers(len(c)))] = points.sample(1, f"{seed}/{g}/{i}/mutation")[0]
-            made.append(lloyd(points, c, tune))
-        now = sorted(made, key=lambda s: s.sse)
-        g += 1
-        history.append(now[0].sse)
-        if g >= generations > 0 or not generations and history[-1] >= history[-2]:
-            return Solution(now[0].codebook, now[0].n, now[0].sse, history)
+
+def centroid_index(a: np.ndarray, b: np.ndarray) -> int:
+    """How many centroids of one codebook are nearest to none of the other, the larger of both ways."""
+    orphans = lambda x, y: len(y) - len(set(nearest(x, y)[0].tolist()))
+    return max(orphans(a, b), orphans(b, a))
 
 
 # annealing
@@ -498,18 +439,24 @@ def genetic(points: Points, k: int, generations: int = 10, population: int = 8,
 
 @dataclass
 class Annealing:
-    """Noise for codebooks whose amplitude falls step by step: linear, or by a share (change / 10000)."""
+    """Noise for codebooks whose amplitude falls step by step: linear, or by a share (change / 10000), not under 0. kind:
+    uniform, or gaussian with the amplitude as its deviation."""
 
     amplitude: float
     change: float
     linear: bool = True
+    kind: str = "uniform"
 
     def cool(self) -> None:
         self.amplitude = max(0.0, self.amplitude - self.change if self.linear else self.amplitude * (1 - self.change / 10_000))
 
     def noisy(self, c: np.ndarray, top: int, seed: str = "0") -> np.ndarray:
-        rng = np.random.default_rng(hash_of(seed))
-        return np.clip(np.floor(c + rng.uniform(-self.amplitude, self.amplitude, c.shape) + 0.5), 0, top).astype(np.int64)
+        """Each element moved by noise, halves up, kept in [0, top]."""
+        if self.kind not in ("uniform", "gaussian"):
+            raise ValueError(f"no noise {self.kind!r}")
+        rng = np.random.default_rng(hash_number(seed, "noise"))
+        shift = rng.uniform(-self.amplitude, self.amplitude, c.shape) if self.kind == "uniform" else rng.normal(0, self.amplitude, c.shape)
+        return np.clip(np.floor(c + shift + 0.5), 0, top).astype(np.int64)
 
 
 def anneal(points: Points, codebook: np.ndarray, schedule: Annealing, rounds: int, top: int, seed: str = "0") -> Solution:
@@ -520,11 +467,3 @@ def anneal(points: Points, codebook: np.ndarray, schedule: Annealing, rounds: in
         schedule.cool()
         best = now if now.sse < best.sse else best
     return lloyd(points, best.codebook)
-
-
-def centroid_index(a: np.ndarray, b: np.ndarray) -> int:
-    """How many centroids of one codebook are nearest to none of the other, the larger of both ways."""
-    orphans = lambda x, y: len(y) - len(set(nearest(x, y)[0].tolist()))
-    return max(orphans(a, b), orphans(b, a))
-
-

@@ -41,9 +41,10 @@ def two_nearest(points: DataFrame, codebook: DataFrame, metric: Metric = V.squar
     return two.select("id", "v", "freq", first["cid"].alias("cid"), first["d2"].alias("d2"), second["cid"].alias("cid2"), second["d2"].alias("d2_2"))
 
 
-def nearest_by_merge_cost(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
-    """For each point the other cluster that takes it in most cheaply: cid2 and cost."""
-    cost = F.transform(F.filter("cb", lambda k: k["cid"] != F.col("cid")), lambda k: F.struct(V.merge_cost(F.col("freq"), k["freq"], V.squared(F.col("v"), k["c"])).alias("cost"), k["cid"].alias("cid2")))
+def nearest_by_merge_cost(assigned: DataFrame, codebook: DataFrame, barred: int | None = None) -> DataFrame:
+    """For each point the other cluster, not `barred` either, that takes it in most cheaply: cid2 and cost."""
+    allowed = lambda k: (k["cid"] != F.col("cid")) & (k["cid"] != F.lit(-1 if barred is None else barred))
+    cost = F.transform(F.filter("cb", allowed), lambda k: F.struct(V.merge_cost(F.col("freq"), k["freq"], V.squared(F.col("v"), k["c"])).alias("cost"), k["cid"].alias("cid2")))
     return _with_codebook(assigned, codebook).withColumn("best", F.array_min(cost)).select(*assigned.columns, "best.cid2", "best.cost")
 
 
@@ -62,6 +63,14 @@ def attract(assigned: DataFrame, codebook: DataFrame, fresh: list[int]) -> DataF
     return joined.select(*rest, F.when(nearer, F.col("near.cid")).otherwise(F.col("cid")).alias("cid"), F.when(nearer, F.col("near.d2")).otherwise(F.col("d2")).alias("d2"))
 
 
+def local_repartition(assigned: DataFrame, codebook: DataFrame, cid: int) -> DataFrame:
+    """After centroid `cid` was replaced: its points go to their nearest, and it attracts those that are nearer to it. As a
+    full search assigns them, if `assigned` was the nearest before; only the ties may differ, which the own cluster wins."""
+    rejected = assign(assigned.where(F.col("cid") == cid), codebook)
+    others = attract(assigned.where(F.col("cid") != cid), codebook, [cid])
+    return rejected.unionByName(others.select(*rejected.columns))
+
+
 def with_centroid(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     """assigned with its cluster's centroid c."""
     return assigned.join(codebook.select("cid", "c"), "cid")
@@ -74,6 +83,23 @@ def counters(assigned: DataFrame) -> DataFrame:
     return sums.groupBy("cid").agg(F.max("uniques").alias("uniques"), F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"))
 
 
+def counter_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What adding and taking away the points that moved changes of the counters: cid, n, s, signed; from two assignments of
+    the same points."""
+    moved = before.select("id", "v", "freq", F.col("cid").alias("old")).join(after.select("id", F.col("cid").alias("new")), "id").where("old <> new")
+    signed = moved.select(F.col("old").alias("cid"), "v", (-F.col("freq")).alias("freq")).union(moved.select(F.col("new").alias("cid"), "v", "freq"))
+    dims = signed.select("cid", "freq", F.posexplode("v").alias("dim", "x")).groupBy("cid", "dim").agg(F.sum((F.col("x") * F.col("freq")).cast(BIG)).cast(BIG).alias("s"), F.sum("freq").alias("n"))
+    return dims.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"))
+
+
+def with_changes(counted: DataFrame, changes: DataFrame) -> DataFrame:
+    """counters (cid, n, s) with changes added; clusters without points left out."""
+    both = counted.select("cid", "n", "s").union(changes.select("cid", "n", "s"))
+    dims = both.select("cid", "n", F.posexplode("s").alias("dim", "x")).groupBy("cid", "dim").agg(F.sum("n").alias("n"), F.sum("x").cast(BIG).alias("s"))
+    out = dims.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"))
+    return out.where("n > 0")
+
+
 def centroids(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     """The clusters' weighted means, halves up; an empty cluster keeps its vector, with freq 0."""
     mean = F.transform("s", lambda x: F.floor((2 * x + F.col("n")) / (2 * F.col("n"))).cast("bigint"))
@@ -98,6 +124,36 @@ def total_error(assigned: DataFrame) -> DataFrame:
     return out.select("sse", "n", (F.col("sse").cast("double") / (F.col("n") * F.col("dim"))).alias("mse"))
 
 
+def mean_error(assigned: DataFrame, codebook: DataFrame, error: str = "mse", use_freq: bool = True) -> DataFrame:
+    """One row: the mean distance to the own centroid by an error function (mse: by dimension too). use_freq: weights count."""
+    w = F.col("freq") if use_freq else F.lit(1)
+    d = (V.metric(error)(F.col("v"), F.col("c")) * w).cast(BIG)
+    out = with_centroid(assigned, codebook).agg(F.sum(d).cast("double").alias("sum"), F.sum(w).alias("n"), F.max(F.size("v")).alias("dim"))
+    return out.select((F.col("sum") / (F.col("n") * (F.col("dim") if error == "mse" else F.lit(1)))).alias("error"))
+
+
+def partition_error(labelled: DataFrame, error: str = "mse") -> DataFrame:
+    """The mean error of a partition (id, v, freq, cid): of its points to the means of their clusters."""
+    means = centroids(labelled, labelled.select("cid").distinct().withColumn("c", F.lit(None).cast("array<bigint>")))
+    return mean_error(labelled, means, error)
+
+
+def codebook_error(points: DataFrame, codebook: DataFrame, error: str = "mse", use_freq: bool = True) -> DataFrame:
+    """The mean error of a codebook, each point at its nearest vector by the same metric."""
+    return mean_error(assign(points, codebook, V.metric(error)), codebook, error, use_freq)
+
+
+def dimension_statistics(points: DataFrame) -> DataFrame:
+    """dim, variance (of the population), median (the lower one, exact), low, high of each dimension. Ranks are counted by
+    value, of which there may be as many as points."""
+    rows = points.select(F.posexplode("v").alias("dim", "x"))
+    byx = rows.groupBy("dim", "x").agg(F.count("*").alias("n"))
+    about = rows.groupBy("dim").agg(F.var_pop("x").alias("variance"), F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
+    run = F.sum("n").over(Window.partitionBy("dim").orderBy("x"))
+    median = byx.withColumn("run", run).join(F.broadcast(about.select("dim", "size")), "dim").where(F.col("run") > F.floor((F.col("size") - 1) / 2)).groupBy("dim").agg(F.min("x").alias("median"))
+    return about.drop("size").join(median, "dim")
+
+
 def worst_points(assigned: DataFrame, m: int) -> DataFrame:
     """The m points that cost most (d2 * freq), ties to the smaller id."""
     return assigned.orderBy(F.desc(F.col("d2") * F.col("freq")), "id").limit(m)
@@ -123,21 +179,30 @@ def stochastic_complexity(assigned: DataFrame, clusters: int) -> DataFrame:
     return sizes.crossJoin(F.broadcast(bits)).select(((first + F.col("bits")) / n).alias("sc"))  # a row each
 
 
-def equal_width_picks(points: DataFrame, order: Column, k: int) -> DataFrame:
-    """Of points put in order (ties by id), the middle one of each of k parts: rank, id. Ranks are counted in ranges of
-    the order, so no task sorts all points."""
-    keyed = points.select("id", order.cast("double").alias("x"))
-    edges = keyed.approxQuantile("x", [i / 64 for i in range(1, 64)], 0.001)
+def at_ranks(keyed: DataFrame, ranks: list[int]) -> DataFrame:
+    """The rows of these ranks, from 0, in order of column x, ties by id; with a column rank. Ranks are counted in ranges of
+    the order, so no task sorts all rows."""
+    edges = sorted(set(keyed.select(F.col("x").cast("double").alias("x")).approxQuantile("x", [i / 64 for i in range(1, 64)], 0.001)))
     part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("x") > e).cast("int")
+    for e in edges:
+        part = part + (F.col("x").cast("double") > e).cast("int")
     parts = keyed.withColumn("part", part)
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"))  # 64 rows at most
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("x", "id"))).join(F.broadcast(before.limit(64)), "part")
-    ranked = ranked.select("id", (F.col("before") + F.col("r") - 1).alias("rank"))
-    size = counts.agg(F.sum("n")).first()[0] or 0
-    return ranked.where(F.col("rank").isin([(i * size + size // 2) // k for i in range(k)] if size else []))
+    counts = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect())  # 64 rows at most
+    before, used, run = F.lit(None).cast("bigint"), [], 0
+    for own, n in counts:
+        if any(run <= r < run + n for r in ranks):
+            used.append(own)
+            before = F.when(F.col("part") == own, F.lit(run).cast("bigint")).otherwise(before)
+        run += n
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("x", "id"))
+    ranked = parts.where(F.col("part").isin(used)).withColumn("rank", before + rank - 1)
+    return ranked.where(F.col("rank").isin([int(r) for r in ranks])).drop("part")
+
+
+def equal_width_picks(points: DataFrame, order: Column, k: int) -> DataFrame:
+    """Of points put in order (ties by id), the middle one of each of k parts: rank, id."""
+    keyed, size = points.select("id", order.alias("x")), points.count()
+    return at_ranks(keyed, [(i * size + size // 2) // k for i in range(k)] if size else []).select("id", "rank")
 
 
 def sliding_density(points: DataFrame, dim: int, window: int) -> DataFrame:
@@ -164,11 +229,28 @@ def by_hash(points: DataFrame, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.lit("|"), points["id"].cast("string")))
 
 
+def hash_number(seed: object, key: object) -> int:
+    """The number in Python that begins by_hash: 52 bits."""
+    import hashlib
+
+    return int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[:13], 16)
+
+
 def sample(points: DataFrame, m: int, seed: str = "0") -> DataFrame:
     """m points, as if at random."""
     return points.orderBy(by_hash(points, seed), "id").limit(m)
 
 
+def shuffled(points: DataFrame, seed: str = "0") -> DataFrame:
+    """points with a column place, from 0: an order that looks random. Places are counted in ranges of the hash."""
+    number = F.conv(F.substring(by_hash(points, seed), 1, 13), 16, 10).cast("bigint")
+    rows = points.withColumn("h", number).withColumn("p", F.shiftright("h", 42))
+    counts = rows.groupBy("p").agg(F.count("*").alias("n"))  # 1024 rows at most
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy("h", "id")) - 1
+    return rows.withColumn("r", place).join(F.broadcast(before.limit(1024)), "p").select(*points.columns, (F.col("start") + F.col("r")).alias("place"))
+
+
 def weighted_pick(points: DataFrame, target: int) -> DataFrame:
     """The first point, in order of id, up to which the weights sum to more than target.
 
@@ -221,13 +303,37 @@ def combined(first: DataFrame, second: DataFrame, size: int) -> DataFrame:
     return first.join(other, "id").select("id", "v", "freq", F.when(nearer, F.col("cid_b") + size).otherwise(F.col("cid")).cast("int").alias("cid"), F.least("d2", "d2_b").alias("d2"))
 
 
-def removal_costs(two: DataFrame, codebook: DataFrame) -> DataFrame:
+def second_costs(two: DataFrame, codebook: DataFrame) -> DataFrame:
     """For each cluster what its points lose when they go to their second nearest centroids: cid, n, cost."""
     loss = ((F.col("d2_2") - F.col("d2")) * F.col("freq")).cast(BIG)
     found = two.groupBy("cid").agg(F.sum("freq").alias("n"), F.sum(loss).cast(BIG).alias("cost"))
     return codebook.select("cid").join(found, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("cost", F.lit(0).cast(BIG)).alias("cost"))
 
 
+def removal_costs(assigned: DataFrame, codebook: DataFrame, exact: bool = False) -> DataFrame:
+    """cid, n, cost: what removing each cluster costs. Its points go to the other cluster that takes each in most cheaply, by
+    the merge cost; what they cost now is taken off. exact: the points that go to one cluster go together, as a cluster of
+    their own mean; their error there and that cluster's merge cost count. codebook's freq: the clusters' weights."""
+    second = nearest_by_merge_cost(assigned, codebook)
+    now = (F.col("d2") * F.col("freq")).cast(BIG)
+    if not exact:
+        found = second.groupBy("cid").agg(F.sum("freq").alias("n"), (F.sum(F.col("cost")) - F.sum(now)).cast(BIG).alias("cost"))
+    else:
+        square = F.aggregate("v", F.lit(0).cast(BIG), lambda a, x: (a + (x * x).cast(BIG)).cast(BIG))
+        about = second.groupBy("cid", "cid2").agg(F.sum("freq").alias("w"), F.sum(now).cast(BIG).alias("now"), F.sum((square * F.col("freq")).cast(BIG)).cast(BIG).alias("q"))
+        sums = second.select("cid", "cid2", "freq", F.posexplode("v").alias("dim", "x")).groupBy("cid", "cid2", "dim").agg(F.sum((F.col("x") * F.col("freq")).cast(BIG)).cast(BIG).alias("s"))
+        sums = sums.groupBy("cid", "cid2").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"))
+        to = codebook.select(F.col("cid").alias("cid2"), F.col("c").alias("to"), F.col("freq").alias("n2"))
+        w = F.col("w")
+        g = about.join(sums, ["cid", "cid2"]).join(to, "cid2").withColumn("m", F.transform("s", lambda x: F.floor((2 * x + w) / (2 * w)).cast("bigint")))
+        cross = F.aggregate(F.zip_with("s", "m", lambda x, y: (x * y).cast(BIG)), F.lit(0).cast(BIG), lambda a, x: (a + x).cast(BIG))
+        own = F.aggregate("m", F.lit(0).cast(BIG), lambda a, x: (a + (x * x).cast(BIG)).cast(BIG))
+        inside = (F.col("q") - 2 * cross + (own * w).cast(BIG)).cast(BIG)
+        merge = V.merge_cost(w, F.col("n2"), V.squared(F.col("m"), F.col("to")))
+        found = g.groupBy("cid").agg(F.sum("w").alias("n"), F.sum((inside - F.col("now") + merge).cast(BIG)).cast(BIG).alias("cost"))
+    return codebook.select("cid").join(found, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("cost", F.lit(0).cast(BIG)).alias("cost"))
+
+
 def distance_matrix(codebook: DataFrame) -> DataFrame:
     """a < b and d2 for all pairs of centroids."""
     one, two = codebook.select(F.col("cid").alias("a"), F.col("c").alias("ca")), codebook.select(F.col("cid").alias("b"), F.col("c").alias("cb"))

@@ -5,11 +5,14 @@ Published definitions throughout. points: id, v, freq. assigned: also cid, d2. c
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .relational import _with_codebook, assign, distance_matrix
+from ..plans.engine import distances
+from .relational import _with_codebook, assign, distance_matrix, global_centroid
 
 
 def _spread(assigned: DataFrame) -> DataFrame:
@@ -41,14 +44,49 @@ def xie_beni(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(least)).select((F.col("mse") / F.col("least")).alias("xie_beni"))  # a row each
 
 
-def f_ratio(assigned: DataFrame, codebook: DataFrame, centre: Column) -> DataFrame:
-    """K times the error within clusters over that of the centroids around `centre`."""
+def f_ratio(assigned: DataFrame, codebook: DataFrame, centre: Column | None = None) -> DataFrame:
+    """K times the error within clusters over that of the centroids around `centre`, by default the mean of all points."""
+    if centre is None:
+        mean = F.broadcast(global_centroid(assigned.select("v", "freq")).select(F.col("c").alias("all_mean")))  # one row
+        codebook, centre = codebook.crossJoin(mean), F.col("all_mean")
     within = _spread(assigned)
-    joined = within.join(codebook.select("cid", "c"), "cid")
+    joined = within.join(codebook, "cid")
     between = F.sum(F.col("n") * V.squared(F.col("c"), centre))
     return joined.agg((F.count("*") * F.sum("sse") / between).alias("f_ratio"))
 
 
+def f_test(assigned: DataFrame, codebook: DataFrame, compat: bool = False) -> DataFrame:
+    """Variance between the centroids, by weight, over that within clusters, each by its degrees of freedom: larger is
+    better. compat: a thousand times the inverse, the variance between divided by the dimension too."""
+    mean = F.broadcast(global_centroid(assigned.select("v", "freq")).select(F.col("c").alias("all_mean")))  # one row
+    within = _spread(assigned)
+    rows = within.join(codebook.select("cid", "c").crossJoin(mean), "cid")
+    sums = rows.agg(F.sum(F.col("n") * V.squared(F.col("c"), F.col("all_mean"))).alias("between"), F.sum("sse").alias("sse"), F.sum("n").alias("n"), F.max(F.size("c")).alias("dim"))
+    k = codebook.agg(F.count("*").cast("double").alias("k"))
+    one = sums.crossJoin(F.broadcast(k))  # a row each
+    inside, between = F.col("sse") / (F.col("n") - F.col("k")), F.col("between") / (F.col("k") - 1)
+    return one.select((1000 * inside / (between / F.col("dim")) if compat else between / inside).alias("f_test"))
+
+
+def silhouette_ci(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
+    """By cluster the distance to the nearest other centroid over the mean distance of its points to its own, weighted by the
+    clusters' shares of the points."""
+    near = distance_matrix(codebook).where("d2 > 0")
+    near = near.select("a", "d2").union(near.select("b", "d2")).groupBy(F.col("a").alias("cid")).agg(F.sqrt(F.min("d2").cast("double")).alias("near"))
+    rows = _spread(assigned).join(near, "cid").where("mean > 0")
+    return rows.agg((F.sum(F.col("near") / F.col("mean") * F.col("n")) / F.sum("n")).alias("silhouette_ci"))
+
+
+def explained(assigned: DataFrame) -> DataFrame:
+    """rmsstd (root of the variance within clusters by dimension) and r2 (the share of the variance that clusters explain),
+    around the clusters' exact means."""
+    dims = variances_with_weight(assigned, ["cid"])
+    whole = variances_with_weight(assigned, []).agg(F.sum(F.col("var") * F.col("n")).alias("total"))
+    size = assigned.agg(F.countDistinct("cid").cast("double").alias("k"), F.sum("freq").cast("double").alias("n"), F.max(F.size("v")).alias("dim"))
+    one = dims.agg(F.sum(F.col("var") * F.col("n")).alias("inside")).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(size))  # a row each
+    return one.select(F.sqrt(F.col("inside") / (F.col("dim") * (F.col("n") - F.col("k")))).alias("rmsstd"), (1 - F.col("inside") / F.col("total")).alias("r2"))
+
+
 def bic(assigned: DataFrame, dim: int) -> DataFrame:
     """Bayesian information criterion of spherical clusters of one variance; larger is better."""
     w = _spread(assigned)
@@ -59,25 +97,59 @@ def bic(assigned: DataFrame, dim: int) -> DataFrame:
     return all_.select((like - k * (dim + 1) / 2 * F.log(n)).alias("bic"))
 
 
-def dunn(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
-    """Least squared distance between clusters over the largest within one, exactly, over all pairs in blocks.
+def block_sums(points: DataFrame, f, schema: str, block: int = 4096) -> DataFrame:
+    """f(a, b) on every pair of blocks of the points (id, v, freq, cid), each block with itself too: it gets Arrow tables, the
+    second's columns named with a 2, and gives sums, never pairs. All pairs are looked at, as these indices are defined; use samples or distinct points."""
+    n = max(1, -(-points.count() // block))
+    rows = points.select("id", "v", "freq", "cid", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = rows.select(*(F.col(c).alias(f"{c}2") for c in ("id", "v", "freq", "cid")), F.col("b").alias("o2")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInArrow(f, schema)
+
 
-    It takes every pair, as its definition does; use it on samples or distinct points.
-    """
-    low, high = F.min(F.when(F.col("cid") != F.col("cid_b"), F.col("d2"))), F.max(F.when(F.col("cid") == F.col("cid_b"), F.col("d2")))
-    return all_pairs(points_by_cluster, block).agg((low / high).alias("dunn"))
+def _columns(t: pa.Table, end: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return t.column(f"id{end}").to_numpy(), np.array(t.column(f"v{end}").to_pylist(), np.int64), t.column(f"freq{end}").to_numpy(), t.column(f"cid{end}").to_numpy()
 
 
-def all_pairs(points: DataFrame, block: int = 4096) -> DataFrame:
-    """Every point with every other, its row with (id_b, cid_b, freq_b, d2); the others come in blocks of one row each."""
-    blocks = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-points.count() // block)))).alias("block")).agg(F.collect_list(F.struct(F.col("id").alias("id_b"), F.col("cid").alias("cid_b"), F.col("freq").alias("freq_b"), F.col("v").alias("v_b"))).alias("others"))
-    met = points.crossJoin(blocks).select("id", "cid", "freq", "v", F.explode("others").alias("o")).select("id", "cid", "freq", "v", "o.*")
-    return met.where("id <> id_b").select("id", "cid", "freq", "id_b", "cid_b", "freq_b", V.squared(F.col("v"), F.col("v_b")).alias("d2"))
+def dunn(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
+    """Least squared distance between clusters over the largest within one, exactly, over all pairs in blocks."""
+
+    def extremes(a: pa.Table, b: pa.Table) -> pa.Table:
+        low = high = None
+        if a.num_rows and b.num_rows:
+            (i, x, _, p), (j, y, _, q) = _columns(a), _columns(b, "2")
+            for s in range(0, len(i), 512):
+                d = distances(x[s : s + 512], y).astype(float)
+                same, other = p[s : s + 512, None] == q[None], i[s : s + 512, None] != j[None]
+                out, in_ = d[~same], d[same & other]
+                low = min(x_ for x_ in (low, out.min() if len(out) else None) if x_ is not None) if low is not None or len(out) else None
+                high = max(x_ for x_ in (high, in_.max() if len(in_) else None) if x_ is not None) if high is not None or len(in_) else None
+        return pa.table({"low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
+
+    return block_sums(points_by_cluster, extremes, "low double, high double", block).agg((F.min("low") / F.max("high")).alias("dunn"))
 
 
 def silhouette(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
-    """Mean silhouette by exact distances to all points: see all_pairs."""
-    d = all_pairs(points_by_cluster, block).groupBy("id", "cid", "freq", "cid_b").agg((F.sum(F.sqrt(F.col("d2").cast("double")) * F.col("freq_b"))).alias("sum"), F.sum("freq_b").alias("n"))
+    """Mean silhouette by exact distances to all points; a point's copies count as others."""
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"id": [], "cid": [], "freq": [], "cid_b": [], "sum": [], "n": []}
+        if a.num_rows and b.num_rows:
+            (i, x, w, p), (j, y, v, q) = _columns(a), _columns(b, "2")
+            kinds, of = np.unique(q, return_inverse=True)
+            to = np.zeros((len(q), len(kinds)))
+            to[np.arange(len(q)), of] = v
+            for s in range(0, len(i), 512):
+                d = np.sqrt(distances(x[s : s + 512], y).astype(float))
+                met = np.ones(d.shape)
+                met[i[s : s + 512, None] == j[None]] = 0
+                total, n = (d * met) @ to, met @ to
+                for name, value in zip(out, (np.repeat(i[s : s + 512], len(kinds)), np.repeat(p[s : s + 512], len(kinds)), np.repeat(w[s : s + 512], len(kinds)), np.tile(kinds, len(d)), total.ravel(), n.ravel()), strict=True):
+                    out[name].append(value)
+        kind = {"id": np.int64, "cid": np.int32, "freq": np.int64, "cid_b": np.int32, "sum": float, "n": float}
+        return pa.table({k: np.concatenate([np.zeros(0, kind[k]), *v]).astype(kind[k]) for k, v in out.items()})
+
+    d = block_sums(points_by_cluster, sums, "id long, cid int, freq long, cid_b int, sum double, n double", block).where("n > 0").groupBy("id", "cid", "freq", "cid_b").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("cid") == F.col("cid_b"), F.col("sum") / F.greatest(F.col("n") + F.col("freq") - 1, F.lit(1))))
     other = F.min(F.when(F.col("cid") != F.col("cid_b"), F.col("sum") / F.col("n")))
     each = d.groupBy("id", "cid", "freq").agg(own.alias("a"), other.alias("b"))
@@ -86,9 +158,9 @@ def silhouette(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def simplified_silhouette(two: DataFrame) -> DataFrame:
-    """Mean of (b - a) / b with the distances to the two nearest centroids; two: relational.two_nearest."""
+    """Another index than silhouette_ci: the mean of (b - a) / b with the distances to the two nearest centroids; two: relational.two_nearest."""
     a, b = F.sqrt(F.col("d2").cast("double")), F.sqrt(F.col("d2_2").cast("double"))
-    return two.agg((F.sum(F.when(b > 0, (b - a) / b).otherwise(0.0) * F.col("freq")) / F.sum("freq")).alias("silhouette_ci"))
+    return two.agg((F.sum(F.when(b > 0, (b - a) / b).otherwise(0.0) * F.col("freq")) / F.sum("freq")).alias("simplified_silhouette"))
 
 
 def variances(points: DataFrame, by: list[str]) -> DataFrame:
@@ -98,6 +170,13 @@ def variances(points: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "dim").agg((q / n - (s / n) * (s / n)).alias("var"))
 
 
+def variances_with_weight(points: DataFrame, by: list[str]) -> DataFrame:
+    """variances with the weight n of each row."""
+    weights = points.groupBy(*by).agg(F.sum("freq").cast("double").alias("n"))
+    rows = variances(points, by)
+    return rows.join(weights, by) if by else rows.crossJoin(F.broadcast(weights))  # one row without `by`
+
+
 def scatter(assigned: DataFrame) -> DataFrame:
     """Mean length of the clusters' variance vectors over that of all points."""
     inside = variances(assigned, ["cid"]).groupBy("cid").agg(F.sqrt(F.sum(F.col("var") * F.col("var"))).alias("len")).agg(F.avg("len").alias("inside"))

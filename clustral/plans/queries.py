@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import graphs as G
-from ..operators import kmeans as M
 from ..operators import relational as R
 from ..operators import validity as VA
-from .engine import Points, of
 
 K = 16
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +52,10 @@ def _cb(name: str, k: int, seed: str) -> str:
 
 BASE = f"""
     WITH RECURSIVE raw AS (SELECT round(l_quantity)::BIGINT q, round(l_discount * 100)::BIGINT d, round(l_tax * 100)::BIGINT t FROM lineitem),
-    pts AS (SELECT q * 10000 + d * 100 + t AS id, [q, d, t] AS v, count(*) AS freq FROM raw GROUP BY q, d, t),
+    pts AS MATERIALIZED (SELECT q * 10000 + d * 100 + t AS id, [q, d, t] AS v, count(*) AS freq FROM raw GROUP BY q, d, t),
     {_cb("cb", K, "cb")},
     alld AS (SELECT id, v, freq, cid, c, {_d2("v", "c")} AS d2 FROM pts, cb),
-    ord AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cid) AS r FROM alld),
+    ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cid) AS r FROM alld),
     asg AS (SELECT id, v, freq, cid, d2 FROM ord WHERE r = 1),
     cen AS (
         SELECT cb.cid, CASE WHEN n IS NULL THEN c ELSE [(2 * s1 + n) // (2 * n), (2 * s2 + n) // (2 * n), (2 * s3 + n) // (2 * n)]::BIGINT[] END AS c,
@@ -99,7 +97,7 @@ def jn2_total_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.total_error(assigned(spark, sf_dir)).select(F.col("sse").cast("double").alias("sse"), "n", F.round("mse", 9).alias("mse"))
 
 
-@query("SELECT a.id, a.cid, a.d2, b.cid AS cid2, b.d2 AS d2_2 FROM asg a JOIN ord b ON a.id = b.id AND b.r = 2")
+@query("SELECT id, max(CASE WHEN r = 1 THEN cid END) AS cid, max(CASE WHEN r = 1 THEN d2 END) AS d2, max(CASE WHEN r = 2 THEN cid END) AS cid2, max(CASE WHEN r = 2 THEN d2 END) AS d2_2 FROM ord WHERE r <= 2 GROUP BY id")
 def jn3_second_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.two_nearest(points(spark, sf_dir), codebook(spark, sf_dir)).select("id", "cid", "d2", "cid2", "d2_2")
 
@@ -202,13 +200,8 @@ def vec11_global_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(R.global_centroid(own), "c", "c").drop("freq").crossJoin(F.broadcast(total))  # a row each
 
 
-@query("SELECT id, count(*) AS copies FROM pts, range(1, freq + 1) r(copy) WHERE freq < 4 GROUP BY id")
-def vec10_unrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.unrolled(points(spark, sf_dir).where("freq < 4")).groupBy("id").agg(F.count("*").alias("copies"))
-
-
 @query("SELECT id, count(*) AS copies FROM pts, range(1, freq + 1) r(copy) GROUP BY id")
-def vec10_unrolled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vec10_unrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unrolled(points(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("copies"))
 
 
@@ -280,9 +273,9 @@ def gla8_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT a.cid, sum(a.freq)::BIGINT AS n, sum((b.d2 - a.d2) * a.freq)::DOUBLE AS cost FROM asg a JOIN ord b ON b.id = a.id AND b.r = 2 GROUP BY a.cid")
-def ish2_removal_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rs5_second_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cb = codebook(spark, sf_dir)
-    return R.removal_costs(R.two_nearest(points(spark, sf_dir), cb), cb).withColumn("cost", F.col("cost").cast("double"))
+    return R.second_costs(R.two_nearest(points(spark, sf_dir), cb), cb).withColumn("cost", F.col("cost").cast("double"))
 
 
 # validity, graphs, search
@@ -314,11 +307,13 @@ def val10_xie_beni(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.xie_beni(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("xie_beni", 6).alias("xie_beni"))
 
 
-@query(f"""SELECT round(count(*) * sum(e) / sum(n * ({_d2('c', '[25, 5, 4]')})), 9) AS f_ratio FROM (
-    SELECT cid, sum(freq) AS n, sum(d2 * freq)::DOUBLE AS e FROM asg GROUP BY cid) a JOIN cb ON cb.cid = a.cid""")
+_MEAN = "mean AS (SELECT [(2 * sum(v[1] * freq) + sum(freq)) // (2 * sum(freq)), (2 * sum(v[2] * freq) + sum(freq)) // (2 * sum(freq)), (2 * sum(v[3] * freq) + sum(freq)) // (2 * sum(freq))]::BIGINT[] AS m FROM pts)"
+
+
+@query(f""", {_MEAN} SELECT round(count(*) * sum(e) / sum(n * ({_d2('c', 'm')})), 9) AS f_ratio FROM (
+    SELECT cid, sum(freq) AS n, sum(d2 * freq)::DOUBLE AS e FROM asg GROUP BY cid) a JOIN cb ON cb.cid = a.cid, mean""")
 def val6_f_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centre = F.array(*(F.lit(x).cast("bigint") for x in (25, 5, 4)))
-    return VA.f_ratio(assigned(spark, sf_dir), codebook(spark, sf_dir), centre).select(F.round("f_ratio", 9).alias("f_ratio"))
+    return VA.f_ratio(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("f_ratio", 9).alias("f_ratio"))
 
 
 @query("""SELECT round(l - n * ln(n) - n * 3 / 2 * ln(2 * pi() * e / (3 * (n - k))) - 3 * (n - k) / 2 - k * 4 / 2 * ln(n), 3) AS bic FROM (
@@ -346,9 +341,34 @@ def val14_s_dbw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.s_dbw(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("s_dbw", 9).alias("s_dbw"))
 
 
-@query("SELECT round(sum(CASE WHEN b.d2 > 0 THEN (sqrt(b.d2) - sqrt(a.d2)) / sqrt(b.d2) ELSE 0 END * a.freq) / sum(a.freq), 9) AS silhouette_ci FROM asg a JOIN ord b ON b.id = a.id AND b.r = 2")
+@query("SELECT round(sum(CASE WHEN b.d2 > 0 THEN (sqrt(b.d2) - sqrt(a.d2)) / sqrt(b.d2) ELSE 0 END * a.freq) / sum(a.freq), 9) AS simplified_silhouette FROM asg a JOIN ord b ON b.id = a.id AND b.r = 2")
+def val8_simplified_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.simplified_silhouette(R.two_nearest(points(spark, sf_dir), codebook(spark, sf_dir))).select(F.round("simplified_silhouette", 9).alias("simplified_silhouette"))
+
+
+@query(f"""SELECT round(sum(near / m * n) / sum(n), 9) AS silhouette_ci FROM (
+    SELECT cid, sum(freq) AS n, sum(sqrt(d2) * freq) / sum(freq) AS m FROM asg GROUP BY cid) a JOIN (
+    SELECT x.cid, min(sqrt({_d2('x.c', 'y.c')})) AS near FROM cb x JOIN cb y ON x.cid <> y.cid GROUP BY x.cid) b ON a.cid = b.cid WHERE m > 0""")
 def val9_silhouette_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VA.simplified_silhouette(R.two_nearest(points(spark, sf_dir), codebook(spark, sf_dir))).select(F.round("silhouette_ci", 9).alias("silhouette_ci"))
+    return VA.silhouette_ci(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("silhouette_ci", 9).alias("silhouette_ci"))
+
+
+@query(f""", {_MEAN}, w AS (SELECT sum(n * ({_d2('c', 'm')}))::DOUBLE AS b, sum(e)::DOUBLE AS e, sum(n)::DOUBLE AS n FROM (
+    SELECT cid, sum(freq) AS n, sum(d2 * freq) AS e FROM asg GROUP BY cid) a JOIN cb ON cb.cid = a.cid, mean)
+    SELECT round((b / 15) / (e / (n - 16)), 6) AS f_test, round(1000 * (e / (n - 16)) / ((b / 15) / 3), 6) AS compat FROM w""")
+def val7_f_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, cb = assigned(spark, sf_dir), codebook(spark, sf_dir)
+    old = VA.f_test(own, cb, compat=True).select(F.round("f_test", 6).alias("compat"))
+    return VA.f_test(own, cb).select(F.round("f_test", 6).alias("f_test")).crossJoin(F.broadcast(old))  # a row each
+
+
+_SS = " + ".join(f"sum(v[{i}] * v[{i}] * freq) - sum(v[{i}] * freq)::DOUBLE ** 2 / sum(freq)" for i in (1, 2, 3))
+
+
+@query(f"""SELECT round(sqrt(i / (3 * (n - k))), 6) AS rmsstd, round(1 - i / t, 6) AS r2 FROM
+    (SELECT sum(s) AS i, sum(n)::DOUBLE AS n, count(*) AS k FROM (SELECT {_SS} AS s, sum(freq) AS n FROM asg GROUP BY cid)), (SELECT {_SS} AS t FROM asg)""")
+def val19_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.explained(assigned(spark, sf_dir)).select(F.round("rmsstd", 6).alias("rmsstd"), F.round("r2", 6).alias("r2"))
 
 
 _ORPHANS = "(SELECT count(*) FROM {1} y WHERE y.cid NOT IN (SELECT near FROM (SELECT x.cid, y.cid AS near, row_number() OVER (PARTITION BY x.cid ORDER BY {2}, y.cid) AS r FROM {0} x, {1} y) WHERE r = 1))"
@@ -385,65 +405,6 @@ def grf1_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.knn_graph(points(spark, sf_dir), 5)
 
 
-@query()
-def den1_axis_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.axis_density(points(spark, sf_dir), 10)
-
-
-@query()
-def grf4_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return G.hulls(parts.select("p_brand", F.array(F.col("p_size").cast("bigint"), F.round("p_retailprice").cast("bigint")).alias("v")), "p_brand")
-
-
-def _solved(spark: SparkSession, s: M.Solution) -> DataFrame:
-    return spark.createDataFrame([(i, [int(x) for x in c], int(n), float(s.sse)) for i, (c, n) in enumerate(zip(s.codebook, s.n, strict=True))], "cid int, c array<bigint>, freq bigint, sse double")
-
-
-def _lineitem(spark: SparkSession, sf_dir: str) -> Points:
-    return of(points(spark, sf_dir).cache())
-
-
-@query()
-def km1_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solved(spark, M.kmeans(_lineitem(spark, sf_dir), K, "maxmin", iterations=10))
-
-
-@query()
-def rs1_random_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solved(spark, M.random_swap(of(_embeddings(spark, sf_dir).cache()), 10, 100))
-
-
-@query()
-def spl1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _lineitem(spark, sf_dir)
-    return _solved(spark, M.split(e, e.sample(1, "0"), 8, "error"))
-
-
-@query()
-def pnn1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _lineitem(spark, sf_dir)
-    c = M.random_init(e, 64)
-    return _solved(spark, M.lloyd(e, M.pnn(c, e.statistics(c).n, K)[0], 2))
-
-
-@query()
-def ish1_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _lineitem(spark, sf_dir)
-    return _solved(spark, M.shrink(e, M.random_init(e, 12), 8))
-
-
-@query()
-def ims1_split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _lineitem(spark, sf_dir)
-    return _solved(spark, M.split_and_merge(e, M.random_init(e, 8), 2, 1))
-
-
-@query()
-def ga1_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solved(spark, M.genetic(_lineitem(spark, sf_dir), 8, 1, 3))
-
-
 _LF = lambda x: f"(lgamma(({x}) + 1) / ln(2))"
 _BIT = ", ".join(f"(v[{i}] > {x})::BIGINT" for i, x in ((1, 25), (2, 5), (3, 4)))
 
@@ -483,15 +444,4 @@ def val8_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.silhouette(assigned(spark, sf_dir)).select(F.round("silhouette", 9).alias("silhouette"))
 
 
-def _initial(name: str) -> Query:
-    def init(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _lineitem(spark, sf_dir)
-        c = M.INITS[name](e, 8)
-        return _solved(spark, M.Solution(c, e.statistics(c).n, e.statistics(c).sse))
-
-    init.__name__ = f"ini_{name.replace('+', 'p')}"
-    return init
-
-
-for _name in M.INITS:
-    query()(_initial(_name))
+from . import library, searches  # noqa: E402, F401  more queries, registered here
