@@ -80,7 +80,7 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7)
     repeated rows count as often as they are there, other columns are ignored.
 
     Features are written to the shared folder once. Each step is a pass of the executors over them, whose sums have the
-    size of the model: `tasks` of them reach the driver, whatever the rows' number and their texts' length.
+    size of the model: one reaches the driver, whatever the rows' number and their texts' length.
 
     Without any positive or any negative row the score is the smoothed share of positives for every text.
     """
@@ -116,15 +116,25 @@ def fit(rows: DataFrame, text: str, label: str, orders: tuple[int, ...] = (5, 7)
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
             for b in batches:
-                for y, s, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    own = f(shared.value, (np.frombuffer(y, "<i4").astype(float), np.frombuffer(s, "<u2"), np.frombuffer(r, np.uint8)))
+                for y, s, r in zip(*b.columns, strict=True):
+                    own = f(shared.value, (np.frombuffer(y.as_buffer(), "<i4").astype(float), np.frombuffer(s.as_buffer(), "<u2"), np.frombuffer(r.as_buffer(), np.uint8)))
                     out = own if out is None else out + own
             if out is not None:
                 yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
 
-        sums = blocks.coalesce(tasks).mapInArrow(partial, "sums binary").collect()  # `tasks` rows at most
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for b in batches:
+                for x in b.column("sums"):
+                    own = np.frombuffer(x.as_buffer())
+                    out = own if out is None else out + own
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+        parts = blocks.coalesce(tasks).mapInArrow(partial, "sums binary")  # `tasks` rows at most
+        sums = parts.repartition(1).mapInArrow(summed, "sums binary").toArrow().column("sums")  # one row
         shared.destroy()
-        return np.sum([np.frombuffer(r["sums"]) for r in sums], axis=0) if sums else np.zeros(0)
+        return np.frombuffer(sums[0].as_buffer()) if len(sums) else np.zeros(0)
 
     out = solve(total, orders, bits, penalty, steps)
     dropped(blocks)
