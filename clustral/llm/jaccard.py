@@ -5,8 +5,8 @@ elements go as a partner may lack. A large set is cut into segments by the eleme
 signature, the key of an inverted list. Up to EXACT differing elements there is a segment more than near sets can differ
 in, so one is equal. Beyond, the differences fall into the segments like balls into bins; their number, and that of the
 rounds with other hashes, is the least that makes the chance that a pair at the very threshold has no equal segment
-smaller than MISS, which is of the order of what 64-bit hashes of shingles bring in anyway. Segments of one element are
-left out there: a phrase that many texts share may be all they have. The chance allows for that.
+smaller than MISS, which is less than that of two shingles with the same 64-bit hash. Segments of one element are left out
+there: a phrase that many texts share may be all they have. The chance allows for that.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import numpy as np
 
 from .text import U, mix
 
-#: Subsets of a set above which segments are cheaper.
-SUBSETS = 24
+#: Size from which on sets are large whatever the data: its subsets would be too many.
+SMALLEST_LARGE = 64
 #: Differing elements up to which segments leave nothing to chance, and the chance beyond.
-EXACT, MISS = 8, 1e-9
+EXACT, MISS = 8, 1e-20
 
 
 def missing(n: int, percent: int) -> int:
@@ -30,13 +30,22 @@ def missing(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
-@lru_cache
-def boundary(percent: int, subsets: int = SUBSETS) -> int:
-    """The smallest size whose subsets cost more than `subsets` signatures."""
-    n = 1
-    while sum(comb(n, k) for k in range(missing(n, percent) + 1)) <= subsets:
-        n += 1
-    return n
+def subsets(n: int, percent: int) -> int:
+    """How many subsets a small set of n has as signatures."""
+    return sum(comb(n, k) for k in range(missing(n, percent) + 1))
+
+
+def pieces_of(n: int, percent: int) -> int:
+    """How many segments a large set of n has as signatures at most."""
+    own = int(np.searchsorted(bands(percent), n, "right")) - 1
+    return sum(m * rounds for m, rounds in (segments(band, percent) for band in (own, own + 1)))
+
+
+def boundary(sizes: dict[int, int], percent: int) -> int:
+    """The size from which on sets are large, where all signatures of sets of these sizes (size: number) are fewest; the
+    smaller at ties. Sets under the boundary over percent have subsets, those from the boundary on segments."""
+    cost = lambda limit: sum(many * ((subsets(n, percent) if n * percent < limit * 100 else 0) + (pieces_of(n, percent) if n >= limit else 0)) for n, many in sizes.items() if n < 2 * SMALLEST_LARGE)
+    return min(range(2, SMALLEST_LARGE + 1), key=lambda limit: (cost(limit), limit))
 
 
 @lru_cache
@@ -68,12 +77,12 @@ def segments(band: int, percent: int) -> tuple[int, int]:
     return best or (differ + 1, 1)
 
 
-def signatures(values: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures (uint64) of one set of distinct hashes."""
+def signatures(values: np.ndarray, percent: int, limit: int) -> np.ndarray:
+    """The signatures (uint64) of one set of distinct hashes; limit: the size from which on sets are large."""
     n = len(values)
     if not n:
         return np.zeros(0, U)
-    out, limit = [], boundary(percent)
+    out = []
     if n * percent < limit * 100:
         whole = np.bitwise_xor.reduce(mix(values ^ U(0x5851F42D4C957F2D)))
         single = mix(values ^ U(0x5851F42D4C957F2D))

@@ -1,5 +1,7 @@
 """N-gram Jaccard join of documents: heavy-light candidates (jaccard.py), exact verification, connected classes.
 
+Where small sets end and large ones begin is chosen by cost: from the sizes of all sets, so that signatures are fewest.
+
 Equal sets are one node from the start. Nodes with a signature in common become one candidate group by a star around the
 smallest, so no list is expanded into pairs. Within a candidate group the inverted lists of the sets' elements are scanned
 for exact overlaps. Groups above `block` nodes are dealt as pairs of blocks, whose spanning forests are joined afterwards.
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import Forest, overlaps, signatures
+from .jaccard import SMALLEST_LARGE, Forest, boundary, overlaps, signatures
 from .shared import bit_map, components, in_bit_map, kept
 from .text import flat, pieces, set_hash, shingles
 
@@ -42,8 +44,8 @@ def nodes(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(rows, f"key {df.schema['key'].dataType.simpleString()}, node long, size long")
 
 
-def candidate_edges(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between each node and the smallest node of every list it is in."""
+def candidate_edges(df: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
+    """Edges (a, b) between each node and the smallest node of every list it is in. Sets of `limit` elements are large."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -52,7 +54,7 @@ def candidate_edges(df: DataFrame, n: int, percent: int) -> DataFrame:
             for k, x in enumerate(node.tolist()):
                 if x not in seen and at[k + 1] > at[k]:
                     seen.add(x)
-                    parts.append(signatures(values[at[k] : at[k + 1]], percent))
+                    parts.append(signatures(values[at[k] : at[k + 1]], percent, limit))
                     owners.append(np.full(len(parts[-1]), x))
             if parts:
                 yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(parts).astype(np.int64)), "node": pa.array(np.concatenate(owners))})
@@ -119,7 +121,9 @@ def classes(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, b
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
     of = kept(nodes(rows, n), "nodes")
     about = of.where("node is not null").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    groups = kept(components(candidate_edges(rows, n, percent)), "groups")
+    small = of.where(F.col("size").between(1, 2 * SMALLEST_LARGE)).groupBy("size").agg(F.count("*").alias("n")).collect()  # 128 rows
+    limit = boundary({r["size"]: r["n"] for r in small}, percent)
+    groups = kept(components(candidate_edges(rows, n, percent, limit)), "groups")
     packed = np.frombuffer(bit_map(groups, "node", BITS), np.int64)  # of fixed size
     shared = df.sparkSession.sparkContext.broadcast(packed)
 

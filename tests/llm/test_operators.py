@@ -83,8 +83,8 @@ def test_jaccard_empty(empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 60), st.sampled_from([80, 90]), st.integers(0, 1000))
-def test_near_sets_share_a_signature(n, edits, percent, seed):
+@given(st.integers(1, 400), st.integers(0, 60), st.sampled_from([80, 90]), st.integers(0, 1000), st.sampled_from([2, 7, 12, 24]))
+def test_near_sets_share_a_signature(n, edits, percent, seed, limit):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 2**63, n).astype(np.uint64)
     y = x.copy()
@@ -92,7 +92,18 @@ def test_near_sets_share_a_signature(n, edits, percent, seed):
     x, y = np.unique(x), np.unique(y)
     common = len(np.intersect1d(x, y))
     if 100 * common >= percent * (len(x) + len(y) - common):
-        assert np.intersect1d(jaccard.signatures(x, percent), jaccard.signatures(y, percent)).size
+        assert np.intersect1d(jaccard.signatures(x, percent, limit), jaccard.signatures(y, percent, limit)).size
+
+
+def test_boundary_is_the_cheapest():
+    rng = np.random.default_rng(2)
+    for percent in (80, 90):
+        for sizes in ({5: 100}, {12: 100, 25: 1}, {30: 10, 60: 10, 100: 5}, {}):
+            limit = jaccard.boundary(sizes, percent)
+            sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in sizes]
+            cost = lambda at: sum(m * (jaccard.subsets(n, percent) * (n * percent < at * 100) + jaccard.pieces_of(n, percent) * (n >= at)) for n, m in sizes.items())
+            assert cost(limit) == min(map(cost, range(2, 65)))
+            assert all(len(jaccard.signatures(x, percent, limit)) <= jaccard.subsets(len(x), percent) * (len(x) * percent < limit * 100) + jaccard.pieces_of(len(x), percent) * (len(x) >= limit) for x in sets)
 
 
 def test_components(spark):
