@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 
 from .text import U, flat, mix, pieces, sequence, shingles
@@ -91,10 +92,12 @@ def contained(docs: DataFrame, key: str, text: str, items: DataFrame, item: str,
     shingles.
 
     An item of fewer words is one shingle, found wherever the words stand in a row. Null and empty items and texts are in
-    no result. Repeated rows give repeated results, other columns are ignored, an empty table gives an empty result. A
-    benchmark of more than PASS shingles takes a pass over the documents for each PASS of them.
+    no result. Repeated rows give repeated results, other columns are ignored, an empty table gives an empty result. Keys
+    and items' ids may be of any type and null. The benchmark goes through the driver, PASS shingles at a time, and each
+    PASS of them takes a pass over the documents.
     """
     kinds = {"key": docs.schema[key].dataType.simpleString(), "item_id": items.schema[item].dataType.simpleString()}
+    ids = to_arrow_type(items.schema[item].dataType)
     schema = f"key {kinds['key']}, item_id {kinds['item_id']}, item_shingles long, shared long"
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     out = None
@@ -108,7 +111,7 @@ def contained(docs: DataFrame, key: str, text: str, items: DataFrame, item: str,
                 for i, j in pieces(off):
                     got = list(index.search(data[off[i] : off[j]], off[i : j + 1] - off[i], n))
                     keys = b.column("key").take(pa.array([i + r for r, _, _ in got], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[x] for _, x, _ in got], pa.from_numpy_dtype(np.int64) if kinds["item_id"] == "bigint" else None), pa.array([len(index.sets[x]) for _, x, _ in got], pa.int64()), pa.array([c for _, _, c in got], pa.int64())], names=["key", "item_id", "item_shingles", "shared"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[x] for _, x, _ in got], ids), pa.array([len(index.sets[x]) for _, x, _ in got], pa.int64()), pa.array([c for _, _, c in got], pa.int64())], names=["key", "item_id", "item_shingles", "shared"])
 
         found = rows.mapInArrow(find, schema)
         out = found if out is None else out.union(found)

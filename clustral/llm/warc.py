@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -52,14 +53,19 @@ def _record(kind: str, rid: str, block: bytes, **more: object) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
+def _named(page_id: object) -> object:
+    """An id as a header's value."""
+    return quote(page_id, safe="") if isinstance(page_id, str) else page_id
+
+
 def page_records(page_id: object, url: str | None, html: bytes, digest: str, refers_to: object, rid: str, segment: int, chunk: int) -> list[bytes]:
     """A page's records, each without the two empty lines that end it."""
     uri = "".join(c for c in (url or "about:blank") if c.isprintable() and c != " ") or "about:blank"
-    common = {"WARC_Target_URI": uri, "WARC_Payload_Digest": f"sha256:{digest}", "X_Page_ID": "" if page_id is None else page_id}
+    common = {"WARC_Target_URI": uri, "WARC_Payload_Digest": f"sha256:{digest}", "X_Page_ID": _named(page_id)}
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [_record("revisit", rid, head, WARC_Profile=profile, X_Refers_To_Page=refers_to, **common)]
+        return [_record("revisit", rid, head, WARC_Profile=profile, X_Refers_To_Page=_named(refers_to), **common)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html, chunk)
     if len(block) <= segment:
         return [_record("response", rid, block, **common)]
@@ -125,13 +131,14 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {"record_id": rid, "origin_id": named.get("warc-segment-origin-id", rid), "kind": named["warc-type"], "segment": int(named.get("warc-segment-number", 0)), "total": int(named["warc-segment-total-length"]) if "warc-segment-total-length" in named else None, "head": head, "block": block}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, ids: str = "long") -> DataFrame:
     """The archives' logical records: page_id, url, record_type, payload (null for revisits), payload_bytes,
     payload_digest, refers_to.
 
     Records in one segment pass straight on. Segments are grouped by origin, put in order by number, checked for gaps
-    and against the stated total, and joined; then chunked framing is taken off and the digest verified. Broken
-    archives raise ValueError. A file is read by one task; write() bounds its records.
+    and against the stated total, and joined once; then chunked framing is taken off and the digest verified. Broken
+    archives raise ValueError. A file is read by one task; write() bounds its records. ids: long or string, what
+    page_id is; a record without one has null.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,40 +155,49 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     parts = files.mapInArrow(records, PARTS)
-    whole = parts.where("segment = 0").select("kind", "head", "block")
-    cut = parts.where("segment > 0").groupBy("origin_id").agg(F.sort_array(F.collect_list(F.struct("segment", "total", "kind", "head", "block"))).alias("parts"))
-    block = F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.block))")
-    gapless = F.expr("forall(sequence(1, size(parts)), i -> parts[i - 1].segment = i) and parts[0].kind <> 'continuation'")
-    right = gapless & (F.element_at("parts", -1)["total"] == F.length(block))
-    joined = cut.select(F.col("parts")[0]["kind"].alias("kind"), F.col("parts")[0]["head"].alias("head"), F.when(right, block).otherwise(F.raise_error(F.lit("segments are missing"))).alias("block"))
+    part = F.struct("segment", "total", "kind", "head", "block")
+    whole = parts.where("segment = 0").select(F.array(part).alias("parts"))
+    cut = parts.where("segment > 0").groupBy("origin_id").agg(F.sort_array(F.collect_list(part)).alias("parts")).select("parts")
+
+    def joined(own: list[dict]) -> bytes:
+        """The block of a record from its segments in order."""
+        if own[0]["segment"] == 0:
+            return own[0]["block"]
+        block = b"".join(x["block"] for x in own)
+        if [x["segment"] for x in own] != list(range(1, len(own) + 1)) or own[0]["kind"] == "continuation" or own[-1]["total"] != len(block):
+            raise ValueError("segments are missing")
+        return block
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
-        number = lambda x: int(x) if x else None
+        kind = pa.string() if ids == "string" else pa.int64()
+        schema = pa.schema([("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", kind)])
+        name = lambda x: None if x is None else unquote(x) if ids == "string" else int(x)
         for batch in batches:
             out = []
-            for x in batch.to_pylist():
-                named = {k.lower(): v for k, _, v in (y.partition(": ") for y in x["head"].split("\r\n")[1:])}
-                top, _, body = x["block"].partition(END)
+            for own in batch.column("parts"):
+                own = own.as_py()
+                named = {k.lower(): v for k, _, v in (y.partition(": ") for y in own[0]["head"].split("\r\n")[1:])}
+                top, _, body = joined(own).partition(END)
                 http = {k.lower(): v for k, _, v in (y.partition(": ") for y in top.decode("latin-1").split("\r\n")[1:])}
                 digest, payload = named["warc-payload-digest"].removeprefix("sha256:"), None
-                if x["kind"] == "response":
+                if own[0]["kind"] == "response":
                     payload = dechunked(body) if http.get("transfer-encoding") == "chunked" else body
                     if hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a payload doesn't have the stated digest")
-                out.append({"page_id": number(named.get("x-page-id")), "url": named.get("warc-target-uri"), "record_type": x["kind"], "payload": payload, "payload_bytes": len(payload) if payload is not None else int(http["content-length"]), "payload_digest": digest, "refers_to": number(named.get("x-refers-to-page"))})
+                out.append({"page_id": name(named.get("x-page-id")), "url": named.get("warc-target-uri"), "record_type": own[0]["kind"], "payload": payload, "payload_bytes": len(payload) if payload is not None else int(http["content-length"]), "payload_digest": digest, "refers_to": name(named.get("x-refers-to-page"))})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return whole.unionByName(joined).mapInArrow(pages, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return whole.unionByName(cut).mapInArrow(pages, f"page_id {ids}, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to {ids}")
 
 
 def archive_and_read(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", segment: int = 4096, chunk: int = 1024) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back; see with_revisits and read.
 
     Null html is an empty payload, a null url about:blank; repeated rows each get records of their own, an empty table
-    gives an empty result, other columns are ignored.
+    gives an empty result, other columns are ignored. page_id may be a number or a string, and null.
     """
     spark = pages.sparkSession
+    ids = "string" if pages.schema[page_id].dataType.simpleString() == "string" else "long"
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(with_revisits(pages, page_id, url, html), path, segment, chunk)
-    return read(spark, path)
+    return read(spark, path, ids)

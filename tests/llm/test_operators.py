@@ -173,6 +173,28 @@ def test_contained(spark, table, empty):
     assert decontamination.contained(table, "doc_id", "text", bench.where("false"), "item_id", "text").count() == 0
 
 
+def test_contained_with_other_ids(spark):
+    text = prose(40)
+    docs_ = spark.createDataFrame([("a", text), (None, text), ("b", "nothing here"), ("a", text)], "doc_id string, text string")
+    items = spark.createDataFrame([("x", text, "t"), (None, text, "t"), ("y", prose(12), "t")], "item_id string, text string, doc_id string")
+    got = collections.Counter((r["key"], r["item_id"]) for r in decontamination.contained(docs_, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == {("a", "x"): 2, ("a", None): 2, (None, "x"): 1, (None, None): 1}
+
+
+def test_bpe_with_other_keys_and_columns(spark, table):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = [("a", "one two", [1], 2), (None, "three", [2], 3), ("a", None, [3], 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, ids array<int>, batch int")
+    coded = bpe.encode(df, "doc_id", "text", ranks, public_tokenizers.PATTERN)
+    got = sorted((r["key"] or "", bytes(r["data"])) for r in bpe.decode(coded, "key", "ids", ranks).collect())
+    assert got == [("", b"three"), ("a", b""), ("a", b"one two")]
+    assert bpe.encode(table, "doc_id", "text", ranks, public_tokenizers.PATTERN).count() == len(docs())
+    none = spark.createDataFrame([(1, None, b"x")], "doc_id long, ids array<int>, data binary")
+    assert bytes(bpe.decode(none, "doc_id", "ids", ranks).first()["data"]) == b""
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), "doc_id", "ids", ranks).collect()
+
+
 def test_bpe(spark, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = bpe.load_ranks(path)
@@ -223,6 +245,14 @@ def test_repeats(spark, empty):
     assert repeats.remove_repeats(empty, "doc_id", "text").count() == 0
 
 
+def test_repeats_with_other_keys_and_columns(spark):
+    long = prose(300)
+    rows = [(None, long, 1, 2, 3), ("a", long, 4, 5, 6), ("a", long, 4, 5, 6), ("b", prose(20), 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, content int, ranges int, h int")
+    got = sorted(((r["key"] or "", r["n_bytes"] - r["n_removed"]) for r in repeats.remove_repeats(df, "doc_id", "text").collect()))
+    assert got == [("", 0), ("a", 0), ("a", 0), ("b", len(rows[3][1]))]
+
+
 def test_equal_windows_compares_bytes(monkeypatch):
     data = np.frombuffer(b"abcdXabcdYbcde" + b"z" * 9, np.uint8)
     want = [p for p in range(20) if any(q != p and data[p : p + 3].tobytes() == data[q : q + 3].tobytes() for q in range(20))]
@@ -352,6 +382,12 @@ def test_shards(spark, table, empty):
     assert {r["size"]: r["text_crc32"] for r in got}[2] == zlib.crc32(b"t") and sharding.shard(empty, "doc_id", "text", tree).count() == 0
 
 
+def test_shards_of_long_texts(spark):
+    rows = spark.createDataFrame([(1, "é" * 2_000_000), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["key"]: (r["size"], r["text_crc32"]) for r in sharding.shard(rows, "doc_id", "text", sharding.even_tree(8)).collect()}
+    assert got == {1: (4_000_001, zlib.crc32(("é" * 2_000_000).encode())), 2: (1, 0), 3: (1, 0)}
+
+
 def test_class_model(spark, table, empty):
     learns = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
     rows = docs()
@@ -462,6 +498,12 @@ def test_warc(spark, empty):
         assert r["payload_digest"] in {hashlib.sha256(t.encode()).hexdigest() for t in texts} and r["payload_bytes"] == len(texts[0].encode())
     assert sorted((r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [(5, 3), (9, 3)]
     assert warc.archive_and_read(df.where("false")).count() == 0
+    named = spark.createDataFrame([("a b/ü\n", "u", long), (None, "u", long), ("", "u", long), ("z", "u", None)], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_and_read(named, segment=512, chunk=100).collect()}
+    size = len(long.encode())
+    assert got == {"": ("response", None, size), "a b/ü\n": ("revisit", "", size), None: ("response", None, size), "z": ("response", None, 0)}
+    huge = spark.createDataFrame([(1, "u", "ä" * 3_000_000)], "page_id long, url string, html string")
+    assert warc.archive_and_read(huge).first()["payload_bytes"] == 6_000_000
 
 
 @settings(max_examples=100, deadline=None)
