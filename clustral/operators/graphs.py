@@ -17,30 +17,37 @@ from ..plans.engine import distances
 def knn_graph(points: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """Exact edges (src, dst, rank, dist): the k nearest others by the distance cut to an integer, then by id.
 
-    Rows meet as pairs of blocks of bounded size; each task keeps k candidates of each point, and a window the best k.
+    Rows meet as pairs of blocks of bounded size, each pair once for both directions; each task keeps k candidates of each
+    point, and a window the best k. All pairs are looked at: use distinct points or samples.
     """
     n = max(1, -(-points.count() // block))
     rows = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("b").alias("o")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = rows.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(n - 1))))
+    right = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("b").alias("o2")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("o2"))))
+
+    def best(d: np.ndarray, src: np.ndarray, dst: np.ndarray, out: dict[str, list]) -> None:
+        for j, row in enumerate(d):
+            cut = np.partition(row, min(k, len(row) - 1))[min(k, len(row) - 1)]
+            own = np.flatnonzero((row <= cut) & (dst != src[j]))
+            own = own[np.lexsort((dst[own], row[own]))][:k]
+            out["src"].append(np.full(len(own), src[j]))
+            out["dst"].append(dst[own])
+            out["dist"].append(row[own])
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         src, dst = a.column("id").to_numpy(), b.column("id2").to_numpy()
-        out = {"src": [], "dst": [], "dist": []}
+        out: dict[str, list] = {"src": [], "dst": [], "dist": []}
         if len(src) and len(dst):
             x, y = (np.array(t.column(c).to_pylist(), np.int64) for t, c in ((a, "v"), (b, "v2")))
+            d = np.empty((len(x), len(y)), np.uint32)  # roots of 64-bit numbers
             for i in range(0, len(src), 512):
-                d = np.floor(np.sqrt(distances(x[i : i + 512], y))).astype(np.int64)
-                for j, row in enumerate(d):
-                    cut = np.partition(row, min(k, len(row) - 1))[min(k, len(row) - 1)]
-                    own = np.flatnonzero((row <= cut) & (dst != src[i + j]))
-                    own = own[np.lexsort((dst[own], row[own]))][:k]
-                    out["src"].append(np.full(len(own), src[i + j]))
-                    out["dst"].append(dst[own])
-                    out["dist"].append(row[own])
-        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *v]) for c, v in out.items()})
-
-    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInArrow(near, "src long, dst long, dist long")
+                d[i : i + 512] = np.floor(np.sqrt(distances(x[i : i + 512], y)))
+            best(d, src, dst, out)
+            if a.column("b")[0] != a.column("o")[0]:
+                best(d.T, dst, src, out)
+        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for c, v in out.items()})
+
+    found = left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInArrow(near, "src long, dst long, dist long")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
@@ -72,10 +79,11 @@ def graph_density(edges: DataFrame, eps: float = 1e-20) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg((k / F.greatest(1.0 / (far + F.lit(eps)) + total, F.lit(eps))).alias("density"))
 
 
-def _in_order(points: DataFrame, halo: int, schema: str, f) -> DataFrame:
+def _in_order(points: DataFrame, halo: int, schema: str, f, only: int | None = None) -> DataFrame:
     """f(x, ids, i, j) over each dimension in order of (x, id), in ranges of that order with `halo` rows more on either side,
-    so that no task holds a dimension: i and j bound the range's own rows. A frame of (id, ...) comes back."""
+    so that no task holds a dimension: i and j bound the range's own rows. A frame of (id, ...) comes back. only: one dimension."""
     rows = points.select("id", F.posexplode("v").alias("dim", "x"))
+    rows = rows if only is None else rows.where(F.col("dim") == only)
     size = points.count()
     parts = max(1, min(1024, size // (8 * halo + 1000)))
     edges = rows.groupBy("dim").agg(F.percentile_approx("x", [(i + 1) / parts for i in range(parts - 1)], 10_000).alias("edges")) if parts > 1 else rows.select("dim").distinct().withColumn("edges", F.array().cast("array<bigint>"))
@@ -122,6 +130,20 @@ def axis_density(points: DataFrame, window: int) -> DataFrame:
     return _in_order(points, half, "id long, d double", one).groupBy("id").agg(F.sum("d").alias("density"))
 
 
+def sliding_density(points: DataFrame, dim: int, window: int) -> DataFrame:
+    """id, sum: the sum of distances in one dimension to the rows around a point in that order (window // 2 on either side,
+    ties by id)."""
+    half = window // 2
+
+    def one(x: np.ndarray, ids: np.ndarray, a: int, b: int) -> pd.DataFrame:
+        n, cum = len(x), np.concatenate([[0], np.cumsum(x)])
+        i = np.arange(a, b)
+        low, high = np.maximum(0, i - half), np.minimum(n - 1, i + half)
+        return pd.DataFrame({"id": ids[a:b], "sum": x[i] * (i - low) - (cum[i] - cum[low]) + (cum[high + 1] - cum[i + 1]) - x[i] * (high - i)})
+
+    return _in_order(points, max(1, half), "id long, sum long", one, dim)
+
+
 def nearest_axis_density(points: DataFrame, k: int) -> DataFrame:
     """id, density: for each dimension k over the sum of distances to the k nearest in it, on both sides together, plus
     1e-20; summed over dimensions."""

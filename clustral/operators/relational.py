@@ -205,15 +205,6 @@ def equal_width_picks(points: DataFrame, order: Column, k: int) -> DataFrame:
     return at_ranks(keyed, [(i * size + size // 2) // k for i in range(k)] if size else []).select("id", "rank")
 
 
-def sliding_density(points: DataFrame, dim: int, window: int) -> DataFrame:
-    """For each point the sum of distances in one dimension to the rows around it in that order (window // 2 on either
-    side, ties by id). One task sorts the dimension; use it on distinct points or samples."""
-    w = Window.orderBy("x", "id").rowsBetween(-(window // 2), window // 2)
-    rows = points.select("id", F.col("v")[dim].alias("x"))
-    near = rows.withColumn("near", F.collect_list("x").over(w))
-    return near.select("id", F.aggregate("near", F.lit(0).cast("bigint"), lambda s, y: s + F.abs(y - F.col("x"))).alias("sum"))
-
-
 def distinct_points(vectors: DataFrame, column: str = "v") -> DataFrame:
     """Equal vectors as one with their number as freq."""
     return vectors.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("freq"))
@@ -348,17 +339,33 @@ def gabriel_neighbours(codebook: DataFrame) -> DataFrame:
     return assign(pairs, codebook).where((F.col("cid") == F.col("id.a")) | (F.col("cid") == F.col("id.b"))).select("id.a", "id.b")
 
 
-def single_link(assigned: DataFrame, a: int, b: int) -> DataFrame:
-    """The least squared distance between points of two clusters, and the pair; the smaller ids at ties.
-
-    The second cluster is broadcast a block of bounded size at a time; its blocks' results are compared at the end.
-    """
-    one = assigned.where(F.col("cid") == a).select(F.col("id").alias("a"), F.col("v").alias("va"))
-    two = assigned.where(F.col("cid") == b).select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    best = None
-    for block in range(-(-two.count() // LARGEST)):
-        part = F.broadcast(two.orderBy("b").offset(block * LARGEST).limit(LARGEST))
-        near = one.crossJoin(part).agg(F.min(F.struct(V.squared(F.col("va"), F.col("vb")).alias("d2"), "a", "b")).alias("m"))
-        best = near if best is None else best.union(near)
-    best = one.agg(F.lit(None).cast("struct<d2: bigint, a: bigint, b: bigint>").alias("m")) if best is None else best
-    return best.agg(F.min("m").alias("m")).where("m is not null").select("m.a", "m.b", "m.d2")
+def single_link(assigned: DataFrame, a: int, b: int, block: int = 4096) -> DataFrame:
+    """The least squared distance between points of two clusters, and the pair; the smaller ids at ties. Points meet as
+    pairs of blocks of bounded size, of which each task tells its least."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..plans.engine import distances
+
+    sizes = {r["cid"]: r["n"] for r in assigned.where(F.col("cid").isin(a, b)).groupBy("cid").agg(F.count("*").alias("n")).collect()}  # two rows
+    many = lambda k: max(1, -(-sizes.get(k, 0) // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(many(a)))
+    one = assigned.where(F.col("cid") == a).select("id", "v", own.alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(many(b) - 1).cast("bigint"))).alias("q"))
+    own = F.pmod(F.xxhash64("id"), F.lit(many(b)))
+    two = assigned.where(F.col("cid") == b).select(F.col("id").alias("id2"), F.col("v").alias("v2"), own.alias("q2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(many(a) - 1).cast("bigint"))).alias("p2"))
+
+    def least(x: pa.Table, y: pa.Table) -> pa.Table:
+        best = None
+        if x.num_rows and y.num_rows:
+            i, j = x.column("id").to_numpy(), y.column("id2").to_numpy()
+            u, v = np.array(x.column("v").to_pylist(), np.int64), np.array(y.column("v2").to_pylist(), np.int64)
+            for s in range(0, len(i), 512):
+                d = distances(u[s : s + 512], v)
+                r, c = np.nonzero(d == d.min())
+                found = min((int(d.min()), int(i[s + p]), int(j[q])) for p, q in zip(r.tolist(), c.tolist(), strict=True))
+                best = found if best is None else min(best, found)
+        names = ("d2", "a", "b")
+        return pa.table({k: pa.array([best[p]] if best else [], pa.int64()) for p, k in enumerate(names)})
+
+    found = one.groupBy("p", "q").cogroup(two.groupBy("p2", "q2")).applyInArrow(least, "d2 long, a long, b long")
+    return found.agg(F.min(F.struct("d2", "a", "b")).alias("m")).where("m is not null").select("m.a", "m.b", "m.d2")

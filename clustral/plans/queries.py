@@ -428,7 +428,7 @@ def win1_equal_width_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.id, sum(abs(b.x - a.x))::BIGINT AS sum FROM (SELECT id, v[1] AS x, row_number() OVER (ORDER BY v[1], id) AS r FROM pts) a JOIN (SELECT v[1] AS x, row_number() OVER (ORDER BY v[1], id) AS r FROM pts) b ON b.r BETWEEN a.r - 5 AND a.r + 5 GROUP BY a.id")
 def win3_sliding_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sliding_density(points(spark, sf_dir), 0, 10)
+    return G.sliding_density(points(spark, sf_dir), 0, 10)
 
 
 @query(f"""SELECT round(min(CASE WHEN p <> q THEN d END) / max(CASE WHEN p = q THEN d END), 9) AS dunn FROM
