@@ -137,6 +137,32 @@ def cross(points: Points, a: Solution, b: Solution, method: str = "pnn", seed: s
     return pnn(s.centroids(both)[used], s.n[used], k)[0]
 
 
+def to_bits(c: np.ndarray, width: int) -> str:
+    """A codebook as a string of bits, `width` an element, the first vector first."""
+    if c.size and (c.min() < 0 or int(c.max()).bit_length() > width):
+        raise ValueError(f"an element has no {width} bits")
+    return "".join(format(int(x), f"0{width}b") for x in c.ravel())
+
+
+def from_bits(bits: str, width: int, dim: int) -> np.ndarray:
+    """What to_bits has made a string of."""
+    if len(bits) % (width * dim):
+        raise ValueError("the string is not of whole vectors")
+    return np.array([int(bits[i : i + width], 2) for i in range(0, len(bits), width)], np.int64).reshape(-1, dim)
+
+
+def with_vector(points: Points, s: Solution, j: int, v: np.ndarray) -> Solution:
+    """A solution with one vector changed, its points assigned anew."""
+    c = s.codebook.copy()
+    c[j] = v
+    return of_codebook(points, c)
+
+
+def optimal(points: Points, s: Solution) -> Solution:
+    """A solution whose codebook is that of its own partition."""
+    return of_codebook(points, points.statistics(s.codebook).centroids(s.codebook))
+
+
 def genetic(points: Points, k: int, generations: int = 10, size: int = 8, method: str = "pnn", selection: str = "elitist", mutations: int = 0, tune: int = 2, seed: str = "0", first: str = "codebook", tuned: str = "all", weighted: bool = False, noise: float = 0.0, watch: Callable[[int, Solution], None] | None = None) -> Solution:
     """Crosses the best solutions, tunes the offspring and keeps the best. generations 0: until a generation brings nothing.
 

@@ -316,3 +316,42 @@ def src11_graph_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, own = scratch(spark, "graph") + ".gr", points(spark, sf_dir)
     files.write_graph_v1(own, knn_graph(own, 3), path)
     return files.read_graph_v1(spark, path)[1]
+
+
+@query("SELECT 3 AS dim, count(*) AS rows, count(*) AS complete, min(list_min(v))::DOUBLE AS low, max(list_max(v))::DOUBLE AS high, false AS last_is_freq FROM pts")
+def src4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "profile")
+    files.write_text(points(spark, sf_dir), path)
+    return files.profile(spark, path).select("dim", "rows", "complete", "low", "high", "last_is_freq")
+
+
+@query("SELECT count(*) FILTER (p_partkey % 10 <> 0) AS kept, count(*) FILTER (p_partkey % 10 = 0) AS dropped, round(sum(CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END)::DOUBLE, 2) AS price FROM part")
+def src6_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, parts = scratch(spark, "floats"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat_ws(" ", "p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice").cast("string")))
+    parts.select(line.alias("value")).write.text(path)
+    rows, dropped = files.read_floats(spark, path)
+    return rows.agg(F.count("*").alias("kept"), F.lit(dropped).cast("bigint").alias("dropped"), F.round(F.sum(F.col("x")[1]), 2).alias("price"))
+
+
+@query("SELECT 'codebook' AS kind, 16::BIGINT AS size UNION ALL SELECT 'partition', count(*) FROM pts UNION ALL SELECT 'training', count(*) FROM pts")
+def src10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _, cen = _cents(spark, sf_dir)
+    path, found = scratch(spark, "kinds"), []
+    files.write_codebook(cen, f"{path}-a.cb")
+    files.write_partition(own, K, f"{path}-b.pa")
+    files.write_training_set(points(spark, sf_dir), f"{path}-c.ts")
+    for name in "abc":
+        at, kind = files.find(spark, f"{path}-{name}")
+        size = (files.read_partition if kind == "partition" else files.read_codebook)(spark, at).count()
+        found.append((kind, size))
+    return spark.createDataFrame(found, "kind string, size long")
+
+
+@query("SELECT c[1] AS v0, c[2] AS v1, c[3] AS v2, 2::BIGINT AS n FROM cen")
+def snk3_like_the_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cen, path = _cents(spark, sf_dir)[2], scratch(spark, "like")
+    text, binary = files.write_like(cen, f"{path}-t", "in.txt"), files.write_like(cen, f"{path}-b", "in.ts")
+    rows = files.raw_vectors(spark, text).select(F.transform("x", lambda x: x.cast("bigint")).alias("v"))
+    both = rows.union(files.read_codebook(spark, binary).select("v"))
+    return flat(both).groupBy("v0", "v1", "v2").agg(F.count("*").alias("n"))

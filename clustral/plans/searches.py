@@ -16,6 +16,7 @@ from ..operators import graphs as G
 from ..operators import kmeans as M
 from ..operators import merging as P
 from ..operators import splitting as S
+from ..sources.files import history_table
 from .engine import Points, of
 from .queries import K, _embeddings, codebook, points, query
 from .unrolled import Steps
@@ -90,6 +91,11 @@ def km1_kmeans(e: Points) -> M.Solution:
     return M.kmeans(e, K, "maxmin", iterations=10)
 
 
+@query(Steps().history("cb", 3))
+def snk8_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history_table(spark, M.lloyd(_lineitem(spark, sf_dir), _start(spark, sf_dir), 3).history)
+
+
 @search()
 def km1_to_the_end(e: Points) -> M.Solution:
     return M.kmeans(e, K, "random", repeats=3)

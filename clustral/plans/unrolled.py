@@ -70,6 +70,15 @@ class Steps:
             error = self.add(f"SELECT least((SELECT e FROM {fresh}), (SELECT e FROM {error})) AS e")
         return book
 
+    def history(self, book: str, iterations: int) -> str:
+        """The error before each iteration and after the last, while it falls."""
+        errors = []
+        for _ in range(iterations + 1):
+            own = self.assign(book)
+            errors.append(self.error(own))
+            book = self.centroids(own, book)
+        return self.sql(" UNION ALL ".join(f"SELECT {i} AS step, (SELECT e FROM {e})::DOUBLE AS error" + (f", ((SELECT e FROM {errors[i - 1]}) - (SELECT e FROM {e}))::DOUBLE AS gain" if i else ", NULL::DOUBLE AS gain") for i, e in enumerate(errors)))
+
     def solution(self, book: str) -> str:
         """The query's columns: cid, c0, c1, c2, freq, sse."""
         own = self.assign(book)

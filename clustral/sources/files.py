@@ -304,7 +304,7 @@ def write_graph_v1(points: DataFrame, edges: DataFrame, path: str, simple: bool
     if simple:
         own = F.concat_ws(" ", F.array_join(F.transform("n", lambda x: x["dst"].cast("string")), " "))
     rows = _bounded(points.join(_lists(edges).withColumnRenamed("src", "id"), "id", "left").orderBy("id").select(own.alias("line"), F.size("v").alias("d"), F.size("n").alias("k")))
-    head = [] if simple else [f"{GRAPH}1", len(rows), max((r["k"] for r in rows), default=0), rows[0]["d"] if rows else 0, DASHES]
+    head = [] if simple else [f"{GRAPH}1", len(rows), max((r["k"] or 0 for r in rows), default=0), rows[0]["d"] if rows else 0, DASHES]
     put(points.sparkSession, path, ("\n".join([*map(str, head), *(r["line"] for r in rows)]) + "\n").encode(), overwrite)
 
 

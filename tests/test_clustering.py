@@ -178,6 +178,15 @@ def test_pnn_merges_the_cheapest():
     assert P.pnn(np.array([[0], [2], [10]]), np.array([1, 1, 4]), 2, cost="amount", error=np.array([0, 100, 0]))[0].tolist() == [[8], [2]]
 
 
+def test_solutions(blobs):
+    local, c = blobs
+    assert (GA.from_bits(GA.to_bits(c, 16), 16, 2) == c).all()
+    with pytest.raises(ValueError):
+        GA.to_bits(c, 3)
+    s = M.of_codebook(local, c)
+    assert GA.optimal(local, s).sse <= s.sse and GA.with_vector(local, s, 0, c[1]).sse > s.sse
+
+
 def test_selections():
     assert GA.select([1, 2, 3], 3) == [(0, 1), (0, 2), (1, 2)] and GA.select([1, 2, 3], 3, "elitist2") == [(0, 0), (0, 1), (1, 1)]
     assert GA.select([1, 2, 3], 3, "zigzag") == [(0, 1), (1, 2), (0, 2)]

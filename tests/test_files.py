@@ -45,3 +45,34 @@ def test_partition_and_graph(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, 1, 1, 1.5), (0, 3, 2, 2.5), (1, 0, 1, 1.5)]
     files.write_graph(spark.createDataFrame([(4, 5, 1, 2), (4, 6, 2, 3)], "src long, dst long, rank int, dist long"), str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).where(F.length("value") > 0).first()["value"] == "4 2 5 6 2.000000 3.000000"
+
+
+def test_solutions_and_kinds(spark, tmp_path):
+    points = spark.createDataFrame([(3, [0, 0], 1), (5, [4, 0], 3), (9, [10, 10], 1)], "id long, v array<bigint>, freq long")
+    (tmp_path / "s.pa").write_bytes(files.format_partition([1, 1, 0], 2))
+    book, own = files.read_solution(spark, str(tmp_path / "s"), points, 2)
+    assert {r["cid"]: (list(r["c"]), r["freq"]) for r in book.collect()} == {0: ([10, 10], 1), 1: ([3, 0], 4)}
+    assert {r["id"]: (r["cid"], r["d2"]) for r in own.collect()} == {3: (1, 9), 5: (1, 1), 9: (0, 0)}
+    with pytest.raises(ValueError):
+        files.read_solution(spark, str(tmp_path / "s"), points, 3)
+    with pytest.raises(ValueError):
+        files.parse_partition(b"VQ PARTITIONING 2.0\n2\n2\n---\n1\n")
+    assert files.read_vectors(spark, files.write_like(book, str(tmp_path / "b.x"), "a.ts")).count() == 2
+    with pytest.raises(FileNotFoundError):
+        files.find(spark, str(tmp_path / "nothing"))
+    with pytest.raises(FileExistsError):
+        files.check_inputs(spark, [str(tmp_path / "s.pa")], str(tmp_path / "s.pa"), 3, 2)
+    with pytest.raises(ValueError):
+        files.check_inputs(spark, [], None, 3, 4)
+    assert files.report([9, 5], 2).endswith("1 steps, error 9 to 5") and files.with_method("a", "b") == "a, b"
+
+
+def test_graph_v1(spark, tmp_path):
+    points = spark.createDataFrame([(i, [i, 2 * i]) for i in range(3)], "id long, v array<bigint>")
+    edges = spark.createDataFrame([(0, 1, 1, 2), (0, 2, 2, 4), (2, 1, 1, 2)], "src long, dst long, rank int, dist long")
+    files.write_graph_v1(points, edges, str(tmp_path / "g"))
+    got, near = files.read_graph_v1(spark, str(tmp_path / "g"))
+    assert [list(r["v"]) for r in got.orderBy("id").collect()] == [[0, 0], [1, 2], [2, 4]]
+    assert sorted(tuple(r) for r in near.collect()) == [(0, 1, 1), (0, 2, 2), (2, 1, 1)]
+    files.write_graph_v1(points, edges, str(tmp_path / "simple"), simple=True)
+    assert (tmp_path / "simple").read_text() == "1 2\n\n1\n"
