@@ -1,12 +1,12 @@
 """Signatures of sets of 64-bit hashes for a Jaccard join: sets that are near each other share a signature, always.
 
 Sets are small or large, by what enumeration costs. A small set has a signature for each subset that is left when as many
-elements go as a partner may lack. A large set is cut into segments by the elements' hashes; each segment's content is a
-signature, the key of an inverted list. Up to EXACT differing elements there is a segment more than near sets can differ
-in, so one is equal. Beyond, the differences fall into the segments like balls into bins; their number, and that of the
-rounds with other hashes, is the least that makes the chance that a pair at the very threshold has no equal segment
-smaller than MISS, which is less than that of two shingles with the same 64-bit hash. Segments of one element are left out
-there: a phrase that many texts share may be all they have. The chance allows for that.
+elements go as a partner may lack. A large set is cut into segments by the elements' hashes; the content of each segment of
+two elements or more is a signature, the key of an inverted list. An element in which two sets differ spoils one segment;
+so a set with more such segments than it can differ in from any partner shares one with each. A set that has not as many
+is cut again by other hashes, and so on. Of two near sets the one that needs fewer rounds decides: the other one took part
+in all of them. What ROUNDS rounds don't bring about single elements do. Segments of one element are left out before: a
+phrase that many texts share may be all they have.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .text import U, mix
 
 #: Size from which on sets are large whatever the data: its subsets would be too many.
 SMALLEST_LARGE = 64
-#: Differing elements up to which segments leave nothing to chance, and the chance beyond.
-EXACT, MISS = 8, 1e-20
+#: Cuts of a large set after which its elements are signatures.
+ROUNDS = 32
 
 
 def missing(n: int, percent: int) -> int:
@@ -36,9 +36,8 @@ def subsets(n: int, percent: int) -> int:
 
 
 def pieces_of(n: int, percent: int) -> int:
-    """How many segments a large set of n has as signatures at most."""
-    own = int(np.searchsorted(bands(percent), n, "right")) - 1
-    return sum(m * rounds for m, rounds in (segments(band, percent) for band in (own, own + 1)))
+    """How many segments a large set of n is cut into at first."""
+    return sum(segments(band, percent) for band, _ in bands_of(n, percent))
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -57,24 +56,36 @@ def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
     return np.array(out)
 
 
+def differ(n: int, largest: int, percent: int) -> int:
+    """In how many elements a set of n can differ from a near one of up to `largest` elements, both ways counted."""
+    return (n + min(largest, n * 100 // percent)) * (100 - percent) // (100 + percent)
+
+
+def bands_of(n: int, percent: int) -> list[tuple[int, int]]:
+    """The bands that the larger set of a pair with a set of n may be in, and the largest partner there."""
+    edge, most = bands(percent), n * 100 // percent
+    own = int(np.searchsorted(edge, n, "right")) - 1
+    out = [(own, min(most, int(edge[own + 1]) - 1))]
+    return [*out, (own + 1, most)] if most >= edge[own + 1] else out
+
+
 @lru_cache
-def segments(band: int, percent: int) -> tuple[int, int]:
-    """(segments, rounds) of a band, for pairs whose larger set is in it."""
+def segments(band: int, percent: int) -> int:
+    """How many segments sets are cut into, for pairs whose larger set is in this band: the fewest with which sets of all
+    sizes there have two deviations more than enough segments of two elements, or the safest number."""
     edge = bands(percent)
-    differ = int(2 * (edge[band + 1] - 1) * (100 - percent) // (100 + percent))
-    if differ <= EXACT:
-        return differ + 1, 1
+    high = int(edge[band + 1]) - 1
+    sizes = np.unique(np.linspace(max(1, -(-int(edge[band]) * percent // 100)), high, 9).astype(int))
+    need = np.array([differ(int(n), high, percent) + 1 for n in sizes])
     best = None
-    for rounds in range(1, 7):
-        low, high = 2, 4 * differ
-        while low < high:
-            m = (low + high) // 2
-            mean = int(edge[band]) * percent / 100 / m
-            equal = (1 - 1 / m) ** differ * (1 - np.exp(-mean) * (1 + mean))
-            low, high = (low, m) if m * rounds * -np.log1p(-equal) >= -np.log(MISS) else (m + 1, high)
-        if low < 4 * differ and (best is None or low * rounds < best[0] * best[1]):
-            best = low, rounds
-    return best or (differ + 1, 1)
+    for m in np.unique(np.geomspace(need.min(), max(need.min(), high), 120).astype(int)).tolist():
+        share = 1 - (1 - 1 / m) ** sizes - sizes / m * (1 - 1 / m) ** (sizes - 1) if m > 1 else (sizes > 1).astype(float)
+        spare = float(((m * share - need) / np.sqrt(m * share * (1 - share) + 0.25)).min())
+        if spare >= 2:
+            return m
+        if best is None or spare > best[0]:
+            best = spare, m
+    return best[1]
 
 
 def signatures(values: np.ndarray, percent: int, limit: int) -> np.ndarray:
@@ -90,16 +101,19 @@ def signatures(values: np.ndarray, percent: int, limit: int) -> np.ndarray:
         out.append(mix(np.array([x for _, x in kept], U) + np.array([s for s, _ in kept], U)))
     if n >= limit:
         body = mix(values ^ U(0x14057B7EF767814F))
-        own = int(np.searchsorted(bands(percent), n, "right")) - 1
-        for band in (own, own + 1):
-            m, rounds = segments(band, percent)
-            for k in range(rounds):
+        for band, largest in bands_of(n, percent):
+            m, need = segments(band, percent), differ(n, largest, percent) + 1
+            for k in range(ROUNDS):
                 at = (mix(values + U(band + (k << 16))) % U(m)).astype(np.int64)
                 sizes, order = np.bincount(at, minlength=m), np.argsort(at)
                 sums = np.concatenate([np.zeros(1, U), np.cumsum(body[order])])
                 ends = np.cumsum(sizes)
                 keys = mix(mix(sums[ends] - sums[ends - sizes] + sizes.astype(U)) + U((band << 40) + (k << 32)) + np.arange(m).astype(U))
-                out.append(keys if m * rounds <= EXACT + 1 else keys[sizes > 1])
+                out.append(keys[sizes > 1])
+                if len(out[-1]) >= need:
+                    break
+            else:
+                out.append(mix(values + U((band << 40) + (1 << 39))))
     return np.concatenate(out)
 
 

@@ -3,7 +3,7 @@
 Where small sets end and large ones begin is chosen by cost: from the sizes of all sets, so that signatures are fewest.
 
 Equal sets are one node from the start. Nodes with a signature in common become one candidate group by a star around the
-smallest, so no list is expanded into pairs. Within a candidate group the inverted lists of the sets' elements are scanned
+smallest, so no list is expanded into pairs and no link is lost. Within a candidate group the inverted lists of the sets' elements are scanned
 for exact overlaps. Groups above `block` nodes are dealt as pairs of blocks, whose spanning forests are joined afterwards.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import SMALLEST_LARGE, Forest, boundary, overlaps, signatures
-from .shared import bit_map, components, in_bit_map, kept
+from .shared import bit_map, components, dropped, in_bit_map, kept
 from .text import flat, pieces, set_hash, shingles
 
 #: Bits of the map of nodes that have a partner.
@@ -140,6 +140,7 @@ def classes(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, b
     dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "first", "copies", "block", "blocks", "elements")
     found = kept(dealt.groupBy("component", "i", "j").applyInArrow(_verified(percent), "node long, root long, low long, n long, whole boolean"), "links")
+    dropped(groups)
     whole = found.where("whole").select("node", F.col("low").alias("component_id"), "n")
     split = found.where("not whole")
     if not split.isEmpty():
