@@ -32,9 +32,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codebook(spark: SparkSession, sf_dir: str, k: int = K, seed: str = "cb") -> DataFrame:
-    """The k points that come first by a hash, numbered by id."""
-    few = R.sample(points(spark, sf_dir), k, seed).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("all"))
-    return few.select(F.posexplode("all").alias("cid", "x")).select("cid", F.col("x.v").alias("c"), F.lit(1).cast("bigint").alias("freq"))
+    """The k points that come first by a hash, numbered by id; found once, so that no use of them scans the points again."""
+    few = sorted((r["id"], r["v"]) for r in R.sample(points(spark, sf_dir), k, seed).collect())  # k rows
+    return spark.createDataFrame([(i, v, 1) for i, (_, v) in enumerate(few)], "cid int, c array<bigint>, freq bigint")
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
