@@ -26,14 +26,17 @@ def ssb(codebook: DataFrame) -> DataFrame:
     return distance_matrix(codebook).agg(F.sum("d2").cast("double").alias("ssb"))
 
 
-def davies_bouldin(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
-    """Mean over clusters with points of the largest (mean_i + mean_j) / distance of centroids."""
+def davies_bouldin(assigned: DataFrame, codebook: DataFrame, compat: bool = False) -> DataFrame:
+    """Mean over clusters with points of the largest (mean_i + mean_j) / distance of centroids. compat: of each cluster only
+    those after it are looked at, and the mean is over all clusters with points."""
     s = _spread(assigned).select("cid", "mean")
     d = distance_matrix(codebook)
-    both = d.union(d.select("b", "a", "d2"))
+    both = d if compat else d.union(d.select("b", "a", "d2"))
     one, two = s.select(F.col("cid").alias("a"), F.col("mean").alias("ma")), s.select(F.col("cid").alias("b"), F.col("mean").alias("mb"))
     ratio = (F.col("ma") + F.col("mb")) / F.sqrt(F.col("d2").cast("double"))
     worst = both.join(one, "a").join(two, "b").where("d2 > 0").groupBy("a").agg(F.max(ratio).alias("r"))
+    if compat:
+        worst = s.join(worst, F.col("cid") == F.col("a"), "left").select(F.coalesce("r", F.lit(0.0)).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
@@ -129,8 +132,9 @@ def dunn(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
     return block_sums(points_by_cluster, extremes, "low double, high double", block).agg((F.min("low") / F.max("high")).alias("dunn"))
 
 
-def silhouette(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
-    """Mean silhouette by exact distances to all points; a point's copies count as others."""
+def silhouette(points_by_cluster: DataFrame, block: int = 4096, compat: bool = False) -> DataFrame:
+    """Mean silhouette by exact distances to all points; a point's copies count as others. compat: the mean distance within
+    the own cluster is over all its points, the point itself too."""
 
     def sums(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"id": [], "cid": [], "freq": [], "cid_b": [], "sum": [], "n": []}
@@ -150,7 +154,7 @@ def silhouette(points_by_cluster: DataFrame, block: int = 4096) -> DataFrame:
         return pa.table({k: np.concatenate([np.zeros(0, kind[k]), *v]).astype(kind[k]) for k, v in out.items()})
 
     d = block_sums(points_by_cluster, sums, "id long, cid int, freq long, cid_b int, sum double, n double", block).where("n > 0").groupBy("id", "cid", "freq", "cid_b").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
-    own = F.max(F.when(F.col("cid") == F.col("cid_b"), F.col("sum") / F.greatest(F.col("n") + F.col("freq") - 1, F.lit(1))))
+    own = F.max(F.when(F.col("cid") == F.col("cid_b"), F.col("sum") / F.greatest(F.col("n") + F.col("freq") - (0 if compat else 1), F.lit(1))))
     other = F.min(F.when(F.col("cid") != F.col("cid_b"), F.col("sum") / F.col("n")))
     each = d.groupBy("id", "cid", "freq").agg(own.alias("a"), other.alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -204,8 +208,9 @@ def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
     return labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def external(labels: DataFrame, a: str, b: str) -> DataFrame:
-    """rand, adjusted_rand, variation (of information, in nats) and nmi of two labellings of the same rows."""
+def external(labels: DataFrame, a: str, b: str, compat: bool = False) -> DataFrame:
+    """rand, adjusted_rand, variation (of information, in nats) and nmi of two labellings of the same rows. compat: the
+    variation stands in nmi's place too."""
     table = contingency(labels, a, b)
     pairs = lambda c: (F.sum(c * (c - 1) / 2)).cast("double")
     entropy = lambda c: F.sum(c * F.log(c.cast("double")))
@@ -222,7 +227,7 @@ def external(labels: DataFrame, a: str, b: str) -> DataFrame:
         ((total + 2 * F.col("both") - F.col("pa") - F.col("pb")) / total).alias("rand"),
         ((F.col("both") - expected) / ((F.col("pa") + F.col("pb")) / 2 - expected)).alias("adjusted_rand"),
         (2 * h("hab") - h("ha") - h("hb")).alias("variation"),
-        (2 * shared / (h("ha") + h("hb"))).alias("nmi"),
+        (2 * h("hab") - h("ha") - h("hb") if compat else 2 * shared / (h("ha") + h("hb"))).alias("nmi"),
     )
 
 

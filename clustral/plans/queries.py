@@ -302,6 +302,12 @@ def val5_davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.davies_bouldin(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("davies_bouldin", 9).alias("davies_bouldin"))
 
 
+@query(f""", {_SP} SELECT round(avg(coalesce(r, 0)), 9) AS davies_bouldin FROM (
+    SELECT a.cid, max((a.m + b.m) / sqrt({_d2('x.c', 'y.c')})) AS r FROM sp a JOIN cb x ON a.cid = x.cid LEFT JOIN (cb y JOIN sp b ON b.cid = y.cid) ON y.cid > x.cid GROUP BY a.cid)""")
+def val5_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.davies_bouldin(assigned(spark, sf_dir), codebook(spark, sf_dir), compat=True).select(F.round("davies_bouldin", 9).alias("davies_bouldin"))
+
+
 @query(f"SELECT round((SELECT sum(d2 * freq)::DOUBLE / sum(freq) FROM asg) / (SELECT min({_d2('x.c', 'y.c')}) FROM cb x JOIN cb y ON x.cid < y.cid), 6) AS xie_beni")
 def val10_xie_beni(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.xie_beni(assigned(spark, sf_dir), codebook(spark, sf_dir)).select(F.round("xie_beni", 6).alias("xie_beni"))
@@ -444,4 +450,11 @@ def val8_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.silhouette(assigned(spark, sf_dir)).select(F.round("silhouette", 9).alias("silhouette"))
 
 
+@query(f"""SELECT round(sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END * freq) / sum(freq), 9) AS silhouette FROM (
+    SELECT id, freq, max(CASE WHEN p = q THEN s / (n + freq) END) AS a, min(CASE WHEN p <> q THEN s / n END) AS b FROM (
+        SELECT a.id, a.freq, a.cid AS p, b.cid AS q, sum(sqrt({_d2("a.v", "b.v")}) * b.freq) AS s, sum(b.freq) AS n FROM asg a JOIN asg b ON a.id <> b.id GROUP BY a.id, a.freq, a.cid, b.cid) GROUP BY id, freq)""")
+def val8_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VA.silhouette(assigned(spark, sf_dir), compat=True).select(F.round("silhouette", 9).alias("silhouette"))
+
+
 from . import library, searches  # noqa: E402, F401  more queries, registered here
