@@ -382,7 +382,8 @@ def test_instances_by_brute_force(text):
 def test_long_runs_stay_linear():
     for long in ("a", "1", "1.", "+1", "1 ", "a@", "a1", "-"):
         text = long * 200_000
-        assert pii.emails(text) == [] and pii.base_spans(text)["ip"] == [] and len(list(pii.instances(text))) <= 200_000
+        spans = pii.base_spans(text)
+        assert spans["email"] == [] and len(spans["ip"]) == (50_000 if long == "1." else 0) and len(list(pii.instances(text))) <= 200_000
 
 
 def test_shards(spark, table, empty):
