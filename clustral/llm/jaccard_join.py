@@ -20,8 +20,8 @@ from .jaccard import SMALLEST_LARGE, Forest, boundary, overlaps, signatures
 from .shared import bit_map, components, dropped, in_bit_map, kept
 from .text import flat, pieces, set_hash, shingles
 
-#: Bits of the map of nodes that have a partner.
-BITS = 1 << 25
+#: Bits of the map of nodes that have a partner; groups above a block whose sizes are broadcast, beyond which they are joined.
+BITS, LARGE = 1 << 25, 1 << 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,13 +134,16 @@ def classes(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, b
             yield pa.RecordBatch.from_pydict({"node": pa.array(node[own]), "elements": pa.array([values[at[k] : at[k + 1]].astype(np.int64).tobytes() for k in own], pa.binary())})
 
     sets = rows.mapInArrow(elements, "node long, elements binary")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    placed = groups.join(sizes, "component").join(about, "node").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    # only groups above a block are told their sizes: a large one's rows need not meet for that
+    big = kept(groups.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > block), "large")
+    known = F.broadcast(big) if big.count() <= LARGE else big
+    placed = groups.join(known, "component", "left").join(about, "node").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("first", F.coalesce("first", F.lit((1 << 63) - 1)))
     dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "first", "copies", "block", "blocks", "elements")
     found = kept(dealt.groupBy("component", "i", "j").applyInArrow(_verified(percent), "node long, root long, low long, n long, whole boolean"), "links")
     dropped(groups)
+    dropped(big)
     whole = found.where("whole").select("node", F.col("low").alias("component_id"), "n")
     split = found.where("not whole")
     if not split.isEmpty():
