@@ -1,7 +1,7 @@
 """Brown class-based bigram scoring: classes from exchange clustering, smoothed transitions and emissions.
 
-Texts are split once, into batches that carry their own words (dictionary.py); all later passes read these. The words that
-lead the batches are exchanged among the classes until no word moves: each in turn goes to the class that raises the
+Texts are split once, into batches that carry their own words (dictionary.py); all later passes read these. The words most
+frequent in training are exchanged among the classes until no word moves: each in turn goes to the class that raises the
 likelihood of the class bigrams most. Then all other words that occur twice in training are exchanged, each by the counts
 of the classes beside it, which meet with the word in a shuffle. Words that occur once and words not met are what an unknown
 word looks like: their classes go by their last two bytes. The end of a text has a class of its own. The probability of a
@@ -28,8 +28,6 @@ from .shared import dropped, kept
 LEADERS, CLASSES, TAILS = 1000, 64, 32
 #: The class of a text's end, and the number of classes; a class and a side fit a byte.
 END, ALL = CLASSES + TAILS, CLASSES + TAILS + 1
-#: Leaders that a batch proposes.
-PROPOSED = 4 * LEADERS
 #: Contexts that are weighed at once.
 CHUNK = 1 << 17
 
@@ -152,18 +150,17 @@ def _table(pairs: DataFrame, m: int) -> np.ndarray:
 
 
 def leading_words(batches: DataFrame) -> list[bytes]:
-    """The LEADERS words of the largest counts in training texts, as far as batches have them among their first PROPOSED."""
+    """The LEADERS words of the largest counts in training texts, ties to the smaller word. Every word of every batch counts."""
 
-    def proposed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r, sizes, trains, codes in _rows(b):
                 words = unpack_words(r["words"])
                 n = np.bincount(codes[np.repeat(trains, sizes)], minlength=len(words))
-                least = max(1, int(np.partition(n, len(n) - PROPOSED)[len(n) - PROPOSED])) if len(n) > PROPOSED else 1
-                first = sorted(np.flatnonzero(n >= least).tolist(), key=lambda i: (-n[i], words[i]))[:PROPOSED]
-                yield pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in first], pa.binary()), "n": pa.array(n[first])})
+                met = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in met.tolist()], pa.binary()), "n": pa.array(n[met])})
 
-    found = batches.select("words", "sizes", "trains", "codes").mapInArrow(proposed, "word binary, n long")
+    found = batches.select("words", "sizes", "trains", "codes").mapInArrow(counted, "word binary, n long")
     rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEADERS).collect()  # LEADERS rows
     return [bytes(r["word"]) for r in rows]
 

@@ -488,6 +488,17 @@ def test_class_model_by_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_leading_words_count_in_every_batch(spark):
+    """A word that leads in no batch leads by its sum over the batches; texts that don't train don't count."""
+    texts = [" ".join(f"own{i}x{j} own{i}x{j} own{i}x{j}" for j in range(4100)) + " wide wide partly partly" + " partly" * (i == 0) * 2 for i in range(4)]
+    rows = [*enumerate(texts), (4, "held " * 50), (5, None)]
+    given = spark.createDataFrame(rows, "key long, text string").repartition(2)
+    batches = shared.kept(class_model.dictionary.whole_batches(given, class_model.split, lambda k: k != 4, 1), "test")
+    count = collections.Counter(w for t in texts for w in class_model.split(t))
+    want = sorted(count, key=lambda w: (-count[w], w))[: class_model.LEADERS]
+    assert want[:2] == [b"partly", b"wide"] and class_model.leading_words(batches) == want
+
+
 def test_class_model_without_training_rows(table):
     got = class_model.score(table, "doc_id", "text", lambda _: False).collect()
     assert len(got) == len(docs()) and all(r["n_known"] == r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
