@@ -273,6 +273,18 @@ def test_repeats_with_other_keys_and_columns(spark):
     assert got == [("", 0), ("a", 0), ("a", 0), ("b", len(rows[3][1]))]
 
 
+def test_repeats_of_short_and_long_texts(spark):
+    # two k-grams whose hashes are the smallest here and differ in their last 21 bits only, the larger one first
+    rng = random.Random(1)
+    low, high = "mbakwswiitcueofhasshlejtncsdttrkbzdwtuiwvpgklovveadckwujppqmjhhd", "fstgxcdprmalzldyghrfclnydcinllacezsorpgnvmwnazignggykmitmjzvxier"
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    same = digits(120) + high + low + digits(152)
+    rows = [(1, same), (2, digits(1 << 20) + same + digits(5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["key"]: (r["n_removed"], r["n_spans"], len(r["kept"])) for r in repeats.remove_repeats(df, "doc_id", "text").collect()}
+    assert got == {1: (400, 1, 0), 2: (400, 1, len(rows[1][1]) - 400)}
+
+
 def test_equal_windows_compares_bytes(monkeypatch):
     data = np.frombuffer(b"abcdXabcdYbcde" + b"z" * 9, np.uint8)
     want = [p for p in range(20) if any(q != p and data[p : p + 3].tobytes() == data[q : q + 3].tobytes() for q in range(20))]
