@@ -1,5 +1,7 @@
 """Operators do all of their input: each test fails on a form that looked at a part of it."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,7 @@ import __spark_entry__ as entry
 from clustral.operators import kmeans as M
 from clustral.operators import relational as R
 from clustral.operators import validity as VA
-from clustral.plans.engine import Local, Spark
+from clustral.plans.engine import Local, Spark, nearest
 
 
 def test_every_point_is_unrolled(spark):
@@ -55,3 +57,50 @@ def test_density_peaks_of_all_points(spark):
     assert M.density_init(local, 6).tolist() == want
     rows = spark.createDataFrame([(i, [int(a) for a in v], 1) for i, v in enumerate(x[:200])], "id long, v array<bigint>, freq long")
     assert M.density_init(Spark(rows), 6).tolist() == M.density_init(Local(x[:200]), 6).tolist()
+
+
+def _one_by_one(points, k, trials, iterations=2):
+    """Random swap as it is defined, by full searches."""
+    best = M.lloyd(points, M.random_init(points, k), iterations)
+    history, pool = [best.sse], points.sample(min(points.size, 1000), "0/swap")
+    for t in range(trials):
+        c = best.codebook.copy()
+        if not (c == pool[t]).all(1).any():
+            c[M.drawn(f"0/victim/{t}", k)] = pool[t]
+            s = M.lloyd(points, c, iterations)
+            best = s if s.sse < best.sse else best
+        history.append(best.sse)
+    return best, history
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, 60), (-30_000, 40_000), (0, 1 << 30)])
+def test_swaps_together_are_swaps_one_by_one(low, high):
+    rng = np.random.default_rng(8)
+    local = Local(rng.integers(low, high, (700, 3)), rng.integers(1, 9, 700))
+    for k, iterations in ((1, 2), (5, 2), (9, 1), (5, 0)):
+        got, (want, history) = M.random_swap(local, k, 60, iterations), _one_by_one(local, k, 60, iterations)
+        assert (got.codebook.tolist(), got.n.tolist(), got.sse, got.history) == (want.codebook.tolist(), want.n.tolist(), want.sse, history)
+
+
+def test_swaps_take_few_jobs(spark):
+    rng = np.random.default_rng(9)
+    x, w = rng.integers(0, 1000, (400, 4)), rng.integers(1, 5, 400)
+    far = Spark(spark.createDataFrame([(i, v, int(f)) for i, (v, f) in enumerate(zip(x.tolist(), w, strict=True))], "id long, v array<bigint>, freq long").cache())
+    spark.sparkContext.setJobGroup("swaps", "swaps")
+    got = M.random_swap(far, 4, 60)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("swaps")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want, history = _one_by_one(Local(x, w), 4, 60)
+    assert (got.codebook.tolist(), got.n.tolist(), got.history) == (want.codebook.tolist(), want.n.tolist(), history)
+    assert len(jobs) < 120 and far.blocks is None  # three passes a trial are more
+
+
+def test_swaps_cost_less_than_searches():
+    local = Local(np.random.default_rng(10).integers(0, 65_536, (8000, 64)))
+    c = local.x[:10]
+    took = []
+    for f in (lambda: [nearest(local.x, c) for _ in range(30)], lambda: M.random_swap(local, 10, 100)):
+        began = time.perf_counter()
+        f()
+        took.append(time.perf_counter() - began)
+    assert took[1] < took[0] * 5  # 300 assignments in less than the time of 150
