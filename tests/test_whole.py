@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from clustral.operators import graphs as G
 from clustral.operators import kmeans as M
 from clustral.operators import relational as R
 from clustral.operators import validity as VA
@@ -59,6 +60,51 @@ def test_density_peaks_of_all_points(spark):
     assert M.density_init(Spark(rows), 6).tolist() == M.density_init(Local(x[:200]), 6).tolist()
 
 
+def _ordered(v, ids, dim):
+    order = np.lexsort((ids, v[:, dim]))
+    return v[order, dim], ids[order]
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """Points of two dimensions: one of few values, most of them equal, and one of many."""
+    rng = np.random.default_rng(11)
+    n = 30_000
+    v = np.stack([np.where(rng.random(n) < 0.5, 7, rng.integers(-40, 2000, n)), rng.integers(-(10**12), 10**12, n)], 1)
+    ids = rng.permutation(10 * n)[:n]
+    path = str(tmp_path_factory.mktemp("tied") / "points")
+    spark.createDataFrame([(i, x, 1) for i, x in zip(ids.tolist(), v.tolist(), strict=True)], "id long, v array<bigint>, freq long").write.parquet(path)
+    return v, ids, spark.read.parquet(path)
+
+
+def test_density_of_the_nearest_by_ranges(spark, tied):
+    v, ids, df = tied
+    for k in (1, 3, 10):
+        want = dict.fromkeys(ids.tolist(), 0.0)
+        for dim in (0, 1):
+            x, own = _ordered(v, ids, dim)
+            for i in range(len(x)):
+                near = np.abs(np.concatenate([x[max(0, i - k) : i], x[i + 1 : i + 1 + k]]) - x[i])
+                near.sort()
+                want[int(own[i])] += k / (near[:k].sum() + 1e-20)
+        assert {r["id"]: r["density"] for r in G.nearest_axis_density(df, k).collect()} == want
+
+
+def test_rows_are_dealt_without_a_walk_through_all_edges(spark, tied):
+    df = G.nearest_axis_density(tied[2], 10)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Window" not in plan and "ReusedExchange" in plan
+
+
+def test_equal_coordinates_are_dealt_out():
+    edge_x, edge_id = np.array([3, 7, 7, 7, 8, 9, 9]), np.array([5, 1, 4, 9, 2, 2, 6])
+    rng = np.random.default_rng(12)
+    x, ids = rng.integers(0, 12, 3000), rng.integers(0, 12, 3000)
+    want = [sum((a, b) < (p, q) for a, b in zip(edge_x.tolist(), edge_id.tolist(), strict=True)) for p, q in zip(x.tolist(), ids.tolist(), strict=True)]
+    assert G._parts(x, ids, edge_x, edge_id).tolist() == want
+
+
 def _one_by_one(points, k, trials, iterations=2):
     """Random swap as it is defined, by full searches."""
     best = M.lloyd(points, M.random_init(points, k), iterations)
