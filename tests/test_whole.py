@@ -90,6 +90,21 @@ def test_density_of_the_nearest_by_ranges(spark, tied):
         assert {r["id"]: r["density"] for r in G.nearest_axis_density(df, k).collect()} == want
 
 
+def test_density_in_windows_by_ranges(spark, tied):
+    v, ids, df = tied
+    for window in (2, 10):
+        want, half = dict.fromkeys(ids.tolist(), 0.0), window // 2
+        for dim in (0, 1):
+            x, own = _ordered(v, ids, dim)
+            sums = {}
+            for i in range(len(x)):
+                near = np.abs(x[max(0, i - half) : i + 1 + half] - x[i])
+                sums[int(own[i])] = int(near.sum())
+                want[int(own[i])] += (len(near) - 1) / (near.sum() + 1e-20)
+            assert {r["id"]: r["sum"] for r in G.sliding_density(df, dim, window).collect()} == sums
+        assert {r["id"]: r["density"] for r in G.axis_density(df, window).collect()} == want
+
+
 def test_rows_are_dealt_without_a_walk_through_all_edges(spark, tied):
     df = G.nearest_axis_density(tied[2], 10)
     df.collect()
